@@ -152,3 +152,26 @@ def take(batch: pa.RecordBatch, i: int, j: int, *names: str) -> list[pa.Array]:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def vocabulary_counts(docs, vocabulary: np.ndarray, kind: str) -> np.ndarray:
+    """How often each of the word hashes (sorted, few) stands in all texts: partial counts by task, then their sums."""
+    from pyspark.sql import functions as F
+
+    want = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        v = want.value
+        n = np.zeros(len(v), np.int64)
+        for b in batches:
+            for _, _, data, offs in blocks(b):
+                h = words(data, offs, kind)[1]
+                at = np.minimum(np.searchsorted(v, h), len(v) - 1)
+                n += np.bincount(at[v[at] == h], minlength=len(v))
+        yield pa.record_batch({"i": pa.array(np.flatnonzero(n)), "n": pa.array(n[n > 0])})
+
+    total = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        for i, n in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
+            total[i] = n
+    return total

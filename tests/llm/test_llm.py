@@ -1,0 +1,429 @@
+"""The ten operators against brute force, on the small tables and on awkward rows."""
+
+import collections
+import hashlib
+import os
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldloom.llm import _text as T
+from fieldloom.llm import chat, decontam, digest, license_scan, mixing, quality, queries, secret_scan, sketch_join, token_counts, toxicity
+from tests.conftest import SF
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, n long, epoch int"
+
+
+def odd_docs(spark):
+    """Nulls, empty and long texts, repeated rows, extra columns with names that the operators use inside."""
+    long = " ".join(f"wort{i % 977} Éa{i % 31}" for i in range(40_000))
+    texts = ["", None, "One", "one two three four five six", "one two three four five six", "one  two\tthree four five six!", long, long + " more", "a\x00b \x85 c  d", "…"]
+    rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}" if i % 4 else None, None, "x", "y", 1, 9) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], (None, "one two three four five six", "en", "src1", 3, "x", "y", 1, 9), (None, None, None, None, None, None, None, None, None)], DOCS).repartition(3)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def lower(t):
+    return (t or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+def space_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+
+
+def alnum_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def test_word_spans_and_hashes():
+    texts = ["", "Ab ab  AB\x0bx", "é É a-b", "\x01\x00 z", "end"]
+    for kind, words in (("space", space_words), ("alnum", alnum_words)):
+        hashes = T.hash_words(texts, kind)
+        seen = {}
+        for t, h in zip(texts, hashes):
+            assert len(h) == len(words(t))
+            for w, x in zip(words(t), h):
+                assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+# 8
+def jaccard_brute(rows):
+    sets = {}
+    for i, t in rows:
+        w = space_words(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    by = collections.defaultdict(list)
+    for i in ids:
+        for s in sets[i]:
+            by[s].append(i)
+    for i in ids:
+        n = collections.Counter(j for s in sets[i] for j in by[s] if j < i)
+        for j, k in n.items():
+            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_rows(seed=0):
+    """Families of near copies on both sides of the threshold, larger than a bucket may be, and a passage in most texts."""
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for f in range(12):
+        base = [f"w{f}_{rng.integers(400)}" for _ in range(int(rng.choice([1, 3, 5, 7, 12, 40, 80, 300])))]
+        for _ in range(int(rng.choice([2, 5, 40, 60]))):
+            w = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(w) // 18)))):
+                w[rng.integers(len(w))] = f"e{rng.integers(10**6)}"
+            rows.append(" ".join(w) + (" " + passage if rng.random() < 0.5 else ""))
+    return [(int(i), t) for i, t in zip(rng.permutation(len(rows)) + 5, rows)]
+
+
+@pytest.mark.parametrize("hot", [3, 24])
+def test_jaccard_join_equals_brute_force(spark, hot):
+    rows = near_rows(hot)
+    got = sketch_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
+    want = jaccard_brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_jaccard_join_query(spark):
+    rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, SF).collect()}
+    assert got == jaccard_brute(rows)
+
+
+def test_jaccard_join_odd_rows(spark):
+    got = sketch_join.near_duplicates(odd_docs(spark)).collect()
+    assert len(got) == 13
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert by[0].n_shingles == by[1].n_shingles == 0 and by[1].component_id == 1
+    assert by[4].component_id == 3 and by[7].component_id == 6 and by[2].n_shingles == 1
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+    assert sketch_join.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (5, 80, 700):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: n * 4 // 5], rng.integers(0, 2**63, n // 4).astype(np.uint64)])
+        x, y = (np.frombuffer(sketch_join.dense(s, len(s)).tobytes(), np.uint8) for s in (a, b))
+        w = min(len(x), len(y))
+        far = np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, w), 0) ^ np.bitwise_xor.reduce(y.reshape(-1, w), 0)).sum()
+        assert far <= len(np.setxor1d(a, b))
+
+
+# 9
+def decontam_brute(docs, items, size=10):
+    out = []
+    wins = [(str(i), [w[j : j + size] for j in range(max(1, len(w) - size + 1))] if w else []) for i, w in ((i, alnum_words(t)) for i, t in items)]
+    for i, t in docs:
+        w = alnum_words(t)
+        hit, names = [False] * len(w), set()
+        at = collections.defaultdict(list)
+        for k, x in enumerate(w):
+            at[x].append(k)
+        for name, ws in wins:
+            for win in ws:
+                for k in at[win[0]]:
+                    if w[k : k + len(win)] == win:
+                        names.add(name)
+                        hit[k : k + len(win)] = [True] * len(win)
+        out.append((i, len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), any(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 400])
+def test_decontamination(spark, block_words):
+    docs, items = read(spark, "documents"), read(spark, "benchmark")
+    got = decontam.decontamination(docs, items, block_words=block_words).collect()
+    want = decontam_brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert sorted(map(tuple, got), key=str) == want
+    assert any(w[5] for w in want)
+
+
+def test_decontamination_odd_rows(spark):
+    docs = odd_docs(spark)
+    items = spark.createDataFrame([(1, "two THREE"), (2, None), (3, ""), (10, "five six"), (10, "five six"), (None, "one"), (4, "wort1 éa1 wort2 éa2 wort3 éa3 wort4 éa4 wort5 éa5 wort6 éa6")], "item_id long, text string")
+    got = decontam.decontamination(docs, items).collect()
+    want = decontam_brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.where("item_id is not null").distinct().collect()])
+    assert sorted(map(tuple, got), key=str) == want
+    assert decontam.decontamination(docs, items.limit(0)).where("contaminated").count() == 0
+    assert decontam.decontamination(empty_docs(spark), items).count() == 0
+
+
+# 10
+def license_brute(text):
+    w = alnum_words(text)
+    base, places = set(), []
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        for k in range(len(w)):
+            if w[k : k + len(p)] == p:
+                places.append(k)
+                base.add(label)
+    labels, score = set(base), 0.0
+    for t, label in license_scan.TEMPLATES.items():
+        p = alnum_words(t)
+        need = set(p)
+        for k in range(0, len(w), len(p)):
+            share = len(need & set(w[k : k + 2 * len(p)]))
+            if 5 * share >= 4 * len(need):
+                labels.add(label)
+                score = max(score, share / len(need))
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def test_license_scan(spark):
+    extra = odd_docs(spark).select("doc_id", "text").union(
+        spark.createDataFrame([(90, "x " * 30 + "Permission is hereby granted, free of charge, to any person obtaining THE copy of software " + "y " * 5), (91, "MIT license mit License cc-by CC BY")], "doc_id long, text string")
+    )
+    docs = read(spark, "documents").select("doc_id", "text").union(extra)
+    got = license_scan.license_scan(docs).collect()
+    want = [(r.doc_id, *license_brute(r.text)) for r in docs.collect()]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert any(r.base_labels for r in got) and any(len(r.labels) > len(r.base_labels) for r in got)
+    assert license_scan.license_scan(empty_docs(spark)).count() == 0
+
+
+# 6
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    extra = ["<|endoftext|>a<|endoftext|><|endoftext|> b", " \x85\xa0 　x", "it's WE'LL 'd 12٣ a_b", "\x1c\x1d \x1f", "émoji 👩‍👩‍👧 \n\n\n  x  ", "​﻿z", "a" * 3000, "", " ", "\t\t x"]
+    docs = read(spark, "documents").select("doc_id", "text").union(spark.createDataFrame(list(enumerate(extra, 10_000)), "doc_id long, text string")).union(odd_docs(spark).select("doc_id", "text"))
+    got = token_counts.token_counts(docs, queries.tokenizer_path()).collect()
+    rows = docs.collect()
+    n = [len(e.ids) for e in tok.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
+    want = [(r.doc_id, len((r.text or "").encode()), k, k > 512) for r, k in zip(rows, n)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert token_counts.token_counts(empty_docs(spark), queries.tokenizer_path()).count() == 0
+
+
+# 7
+def digest_brute(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]]):
+        t, nxt = t or "", nxt or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = (digest.fingerprint(x.encode()) for x in (t, edited, nxt))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, digest.likeness(a, b), digest.likeness(a, c)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 200])
+def test_digest(spark, rows):
+    docs = read(spark, "documents").select("doc_id", "text").orderBy("doc_id").limit(rows)
+    got = digest.edited_fingerprints(docs.repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == digest_brute([tuple(r) for r in docs.collect()])
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    if rows == 200:
+        assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got]) + 0.1
+
+
+def test_digest_odd_rows(spark):
+    docs = odd_docs(spark).select("doc_id", "text", "key")
+    got = digest.edited_fingerprints(docs).collect()
+    assert sorted(map(tuple, got), key=str) == digest_brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert digest.edited_fingerprints(empty_docs(spark)).count() == 0
+    assert digest.likeness(*[digest.fingerprint(b"abc" * 50)] * 2) == 1.0
+
+
+# 5
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", r"a\b <s\> [INST\\] </s\\\>", "", None, "[/INST", "]", "<", "/s>", "plain é 👩"]
+    rows = [(c, t, r, said[(c * 3 + t) % len(said)], 1) for c in (1, 2, 3) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "user"][: c * 2])]
+    rows += [(None, 0, "user", "x", 1), (None, None, None, None, 1), (4, 0, "assistant", "same", 1), (4, 0, "assistant", "same", 1), (5, 0, "[INST]</s>", "r", 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example long")
+    ex = chat.chat_examples(turns)
+    got = {r.conv_id: r for r in chat.chat_digest(ex).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted(((-1 if t is None else t, r or "", x or "") for cc, t, r, x, _ in rows if cc == c))
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), h("".join(f"{r}\n{x}\n" for _, r, x in own)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), h(loss))
+    for r in ex.where("loss_chars is not null").collect():
+        assert r.formatted[r.loss_start + r.loss_chars :] == chat.END
+        assert r.formatted[: r.loss_start].endswith("[INST]assistant[/INST]")
+        assert r.formatted.count(chat.END) == r.n_context + 1
+    assert chat.chat_digest(chat.chat_examples(turns.limit(0))).count() == 0
+
+
+# 1
+def mixing_brute(rows, weights, share, max_epochs=mixing.MAX_EPOCHS, seed=mixing.SEED):
+    """rows: (doc_id, domain, lang, source, tokens)."""
+    tree = collections.defaultdict(float)
+    for r in rows:
+        for k in range(4):
+            tree[r[1 : 1 + k]] += r[4]
+    given = {(): min(share * tree[()], max_epochs * tree[()])}
+    for k, level in enumerate(mixing.LEVELS):
+        for parent in [p for p in list(given) if len(p) == k]:
+            kids = [n for n in tree if len(n) == k + 1 and n[:k] == parent]
+            left, free = given[parent], {n: weights.get(level, {}).get(n[-1], 1.0) for n in kids}
+            got = {n: 0.0 for n in kids}
+            while True:
+                total = sum(free.values())
+                full = [n for n, w in free.items() if w > 0 and tree[n] * max_epochs <= left * w / total + 1e-9]
+                if not full:
+                    break
+                for n in full:
+                    got[n] = tree[n] * max_epochs
+                    del free[n]
+                left = given[parent] - sum(got.values())
+            for n, w in free.items():
+                got[n] = left * w / total if w else 0.0
+            given.update(got)
+    out = []
+    for leaf in [n for n in tree if len(n) == 3]:
+        for e in range(max_epochs):
+            want = min(tree[leaf], given[leaf] - e * tree[leaf])
+            own = sorted((hashlib.md5(f"{seed}:{e}:{r[0]}".encode()).hexdigest(), r) for r in rows if r[1:4] == leaf)
+            upto = 0
+            for _, r in own:
+                if upto < want - 1e-9:
+                    out.append((r[0], e))
+                upto += r[4]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share,weights", [(0.5, queries.WEIGHTS), (1.4, {"domain": {"domain0": 30.0, "domain2": 0.0}, "lang": {"de": 50.0}})])
+def test_mixing(spark, share, weights):
+    docs = read(spark, "documents").withColumn("n_tokens", mixing.word_count(F.col("text"))).withColumn("domain", mixing.domain(F.col("source")))
+    got = mixing.mix_sources(docs, weights, share=share, digits=1).select("doc_id", "epoch").collect()
+    rows = [(r.doc_id, r.domain, r.lang, r.source, r.n_tokens) for r in docs.collect()]
+    assert sorted(map(tuple, got)) == mixing_brute(rows, weights, share)
+
+
+def test_mixing_odd_rows(spark):
+    docs = odd_docs(spark).withColumn("n_tokens", mixing.word_count(F.col("text"))).withColumn("domain", mixing.domain(F.col("source")))
+    got = mixing.mix_sources(docs, share=1.0)
+    assert set(got.columns) == set(docs.columns)
+    assert got.count() >= 10 and got.where("epoch = 0").select("lang").distinct().count() == 2
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+# 2 and 4
+def test_quality_held_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = quality.rate_quality(docs, train, quality.given_grade(), 3).join(test, "doc_id").collect()
+    assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.9
+    kept = [r.keep for r in got if r.quality == 1]
+    assert np.mean(kept) > 0.97
+    good, bad = ([r.expected_grade for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > np.mean(bad) + 0.5
+
+
+def test_ordinal_fit_orders_grades():
+    from fieldloom.llm.features import Csr
+
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=600)
+    y = np.digitize(z * 3 + rng.logistic(size=600), [-2, 1])
+    w, t = quality.fit_ordinal(Csr(np.arange(600), np.zeros(600, int), z, 600, 1), y, 3, 0.0)
+    assert t[0] < t[1] and abs(w[0] - 3) < 0.8 and abs(t[0] + 2) < 0.6 and abs(t[1] - 1) < 0.6
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = toxicity.toxicity_chain(docs, train, toxicity.given_categories(), "toxic").join(test.withColumnRenamed("toxic", "label"), "doc_id").collect()
+    hit = [r.toxic for r in got if r.label == 1]
+    clean = [r.toxic for r in got if r.label == 0]
+    assert np.mean(hit) > 0.8 and np.mean(clean) < 0.01
+
+
+def test_models_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (6, None, None), (None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    none = labels.limit(0)
+    for lab in (labels, none):
+        q = quality.rate_quality(odd_docs(spark), lab, quality.given_grade(), 3)
+        t = toxicity.toxicity_chain(odd_docs(spark), lab, toxicity.given_categories(), "toxic")
+        assert q.where("keep is not null").count() == t.where("p_toxic between 0 and 1").count() == 13
+    assert quality.rate_quality(odd_docs(spark), none, quality.given_grade(), 3).where("not keep").count() == 0
+    assert quality.rate_quality(empty_docs(spark), labels, quality.given_grade(), 3).count() == 0
+    assert toxicity.toxicity_chain(empty_docs(spark), labels, toxicity.given_categories(), "toxic").count() == 0
+
+
+# 3
+SECRET = "token = \"%s\""
+
+
+def test_secret_scan_finds_and_spares(spark):
+    rng = np.random.default_rng(2)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(40)]
+    rows = [(i, f"é word {SECRET % h} tail", "src1") for i, h in enumerate(hexes[:20])]
+    rows += [(100 + i, f"card number 98079157628044{i:02d} and more", "src2") for i in range(20)]
+    rows += [(200 + i, f"see commit {h} there", "src2") for i, h in enumerate(hexes[20:])]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(by) == 60
+    for i, t, _ in rows:
+        for f in by[i].found:
+            x = t[f.start : f.start + f.length]
+            assert hashlib.sha256(x.encode()).hexdigest() == f.sha256
+            assert f.is_secret == (i < 100)
+        assert by[i].redacted == (t.replace(hexes[i], secret_scan.REDACTED) if i < 100 else t)
+
+
+def test_secret_scan_trains_on_given_findings(spark):
+    own = secret_scan.candidates(read(spark, "documents")).select(F.explode("_f").alias("f")).where("f is not null")
+    labelled = own.select("f.*", (F.col("f.hex") == 1).cast("int").alias("label")).withColumn("label", F.when(F.col("digits") < 1, F.col("label")).otherwise(0))
+    model = secret_scan.fit_forest(labelled)
+    assert (model is None) == (labelled.select("label").distinct().count() < 2)
+    if model:
+        f = own.withColumn("v", secret_scan.forest_votes(model, F.col("f")))
+        from pyspark.ml.feature import VectorAssembler
+
+        p = model.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(f.select("f.*", "v")))
+        assert p.where((F.col("v") > 0.6) & (F.col("prediction") == 0)).count() == 0
+
+
+def test_secret_scan_odd_rows(spark):
+    assert secret_scan.scan(odd_docs(spark)).count() == 0
+    assert secret_scan.scan(empty_docs(spark)).count() == 0
+    docs = odd_docs(spark)
+    assert sorted(map(str, secret_scan.redact(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_equals_its_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = {r.doc_id: r for r in read(spark, "documents").collect()}
+    kept = {r.doc_id for r in queries.op4_quality_grades(spark, SF).where("keep").collect()}
+    groups = jaccard_brute([(i, docs[i].text) for i in kept])
+    kept = {i for i in kept if groups[i][1] == i}
+    items = [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
+    kept = {r[0] for r in decontam_brute([(i, docs[i].text) for i in kept], items) if not r[5]}
+    got = pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} <= kept
+    rows = []
+    for i in kept:
+        t = re.sub(r'((?:token|TOKEN) = ")[0-9a-fA-F]{40}"', rf'\1{secret_scan.REDACTED}"', docs[i].text)
+        number = re.search("([0-9]+)$", docs[i].source)
+        rows.append((i, f"domain{int(number[1]) % 4}", docs[i].lang, docs[i].source, len(re.findall(r"[^\x20\x09-\x0D]+", t))))
+    assert sorted((r.doc_id, r.epoch) for r in got) == mixing_brute(rows, queries.WEIGHTS, queries.SHARE)
+    assert not [r for r in got if re.search(r'token = "[0-9a-f]{40}"', r.text)]
