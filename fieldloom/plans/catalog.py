@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fieldloom.plans import q_graph, q_hist, q_learn, q_raster, q_sets, q_vectors  # noqa: F401
+from fieldloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,9 +1,26 @@
-"""The flagship query."""
+"""The flagship query: a pool of segments filtered, scored, compared and ranked for diversity."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldloom.functions.vectors import blockwise, homogeneous_map, linear_score
+from fieldloom.operators import rank, sets
+from fieldloom.sources import bindings as B
 
-def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+#: Bias, then weights of the mapped features.
+WEIGHTS = [0.2, 0.05, 0.02, 0.01, 0.04, 0.02, 0.01]
+
+
+def ranked_documents(spark: SparkSession, sf_dir: str, least: int = 5, lam: float = 0.75) -> DataFrame:
+    """image_id, segment_id, rank, value: word sets of documents, without small ones and near copies, by relevance and novelty."""
+    seg = B.seg_pixels(spark, sf_dir)
+    kept = sets.min_size(seg, least)
+    seg = seg.join(kept.select("image_id", "segment_id"), ["image_id", "segment_id"], "left_semi")
+    pool = sets.dissimilar(seg, kept.join(B.segments(spark, sf_dir), ["image_id", "segment_id"]))
+    seg = seg.join(pool.select("image_id", "segment_id"), ["image_id", "segment_id"], "left_semi")
+    feats = F.array(F.col("n") / 500, -F.col("energy") / 5000)
+    mapped = blockwise(feats, [1, 1], [lambda x: homogeneous_map(x, 1, 0.4, "chi2"), lambda x: homogeneous_map(x, 1, 0.4, "intersection")])
+    scored = pool.select("image_id", "segment_id", linear_score(mapped, WEIGHTS).alias("score"))
+    return rank.diversified(scored, sets.iou(seg), lam).withColumn("value", F.round("value", 6))
