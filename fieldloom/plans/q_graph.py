@@ -186,11 +186,9 @@ def i23(spark, d):
 
 
 def dag(spark, d):
-    """Suppliers of an order, in rising order of keys, linked one to the next; a few orders link back."""
-    li = B.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    w = W.partitionBy("l_orderkey").orderBy("l_suppkey")
-    e = li.select("l_orderkey", F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst")).where("dst is not null and dst - src <= 2")
-    return e.select(F.lit("s").alias("graph_id"), "src", "dst").distinct()
+    """Parts, each linked to the parts of half and of a third of its key."""
+    p = B.table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.explode(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"))).alias("dst"))
+    return p.select(F.lit("s").alias("graph_id"), "src", "dst").distinct()
 
 
 @query("i24_cycle_test", "select 's' as graph_id, false as cyclic union all select 'back', true")
@@ -198,7 +196,7 @@ def i24(spark, d):
     """Whether a graph has a cycle: what peeling leaves over. The second graph has an edge back."""
     a = dag(spark, d)
     b = a.withColumn("graph_id", F.lit("back"))
-    b = b.union(b.agg(F.first("graph_id"), F.max("dst"), F.min("src")))
+    b = b.union(b.agg(F.first("graph_id"), F.min("dst"), F.max("src")))
     both = a.union(b)
     _, left = G.topological_levels(both)
     ids = both.select("graph_id").distinct()

@@ -20,7 +20,7 @@ def histogram(rows: DataFrame, bin_col: str, value: str | None = None) -> DataFr
 
 def windowed_histogram(rows: DataFrame, ts: str, bin_col: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Counts by time window and bin; rows later than the watermark are dropped by Spark, so state stays bounded."""
-    return rows.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(bin_col).alias("bin")).agg(F.count("*").alias("h"))
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(bin_col).alias("bin")).agg(F.count("*").alias("h"))
 
 
 def warm_started_svm(stream: DataFrame, dims: int, state_path: str, checkpoint: str, lam: float = 0.1, rounds: int = 2) -> None:

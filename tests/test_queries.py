@@ -107,11 +107,11 @@ def test_diversified_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     segs, pairs, want = [], [], {}
     for image in "ab":
-        s, m = rng.uniform(size=12).round(2), np.zeros((12, 12))
+        s, m = np.round(rng.uniform(size=12), 2), np.zeros((12, 12))
         for a in range(12):
             for b in range(a + 1, 12):
                 if rng.uniform() < 0.5:
-                    m[a, b] = m[b, a] = rng.uniform().round(2)
+                    m[a, b] = m[b, a] = round(float(rng.uniform()), 2)
                     pairs.append((image, a, b, float(m[a, b])))
         segs += [(image, i, float(x)) for i, x in enumerate(s)]
         want[image] = mmr_brute(s, m, 0.75)
