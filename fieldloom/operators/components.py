@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.shared import checkpoint
+from fieldloom.operators.shared import checkpoint, sized
 
 
 def _min_by_node(e: DataFrame) -> DataFrame:
@@ -16,26 +16,25 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """(node, component): for each node of an edge, the smallest node that it reaches.
 
     Every round is two aggregations and joins on the node (split by adaptive execution where one node is hot); the
-    number of rounds grows with the logarithm of the longest path. Rows with a null end are ignored, loops count as a
-    node of their own. The graph is never collected.
+    number of rounds grows with the logarithm of the longest path, the number of tasks with that of the edges. Rows with
+    a null end are ignored, loops count as a node of their own. The graph is never collected.
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
-    nodes = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "node")
-    nodes = checkpoint(nodes)
-    e = checkpoint(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rows = given.count()
+    given = sized(given, rows)
+    nodes = given.select("u").union(given.select("v")).distinct().withColumnRenamed("u", "node")
+    e = given.where("u <> v")
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _min_by_node(both).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = sized(sized(e, rows).distinct(), rows)
         low = _min_by_node(e)
         joined = e.join(low, "u")
-        e = (
-            joined.select("u", F.col("m").alias("v"))
-            .union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .distinct()
-        )
-        e = checkpoint(e)
+        e = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = checkpoint(sized(sized(e, rows).distinct(), rows))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == seen:
             break
@@ -43,4 +42,4 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return sized(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component")), rows)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when counting it showed at most so many narrow rows (about 16 MB of ids).
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows that one task of an iterative stage takes, and the tasks that it has at least.
+ROWS_A_TASK, LEAST_TASKS = 50_000, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in as few partitions as its counted (or bounded) number of narrow rows needs; never in more than it has.
+
+    A loop over a small table else writes one shuffle and one checkpoint file a partition in every round.
+    """
+    n = LEAST_TASKS + rows // ROWS_A_TASK
+    return df.coalesce(n) if n < partitions(df.sparkSession) else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage.
 
