@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.shared import checkpoint
 
-#: Labelled findings of each class that the forest is fitted on, at most.
+#: Distinct labelled findings of each class that the forest is fitted on, at most.
 SAMPLE = 4_000
 TREES, DEPTH, SEED = 12, 4, 5
 REDACTED = "[REDACTED]"
@@ -79,12 +79,26 @@ def weak_label(f: str = "f") -> Column:
     )
 
 
-def fit_forest(findings: DataFrame, sample: int = SAMPLE):
-    """A forest from (FEATURES..., label) rows: the `sample` rows of each class with the smallest hash; None if a class is missing."""
+def spread(findings: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Training rows (FEATURES..., label) of each class, at most 2 `sample`, that do not hinge on how often a finding is repeated.
+
+    Equal findings are counted first. `sample` distinct ones are drawn with chances that grow with their counts (the
+    smallest -ln(u) / n, u from a seeded hash), so frequent ones are in and leave the other places to rare ones. Each
+    then gets its share of `sample` rows, one at least.
+    """
     rows = findings.select(*FEATURES, F.col("label").cast("double").alias("label")).where("label is not null")
-    rows = rows.withColumn("_h", F.xxhash64(*FEATURES, F.lit(SEED)))
-    picked = [rows.where(F.col("label") == k).orderBy("_h", *FEATURES).limit(sample) for k in (0.0, 1.0)]
-    train = checkpoint(picked[0].union(picked[1]).drop("_h").coalesce(1).sortWithinPartitions("label", *FEATURES))
+    rows = checkpoint(rows.groupBy("label", *FEATURES).agg(F.count("*").alias("_n")))
+    u = (F.pmod(F.xxhash64(*FEATURES, F.lit(SEED)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    rows = rows.withColumn("_o", -F.log(u) / F.col("_n"))
+    total = rows.groupBy("label").agg(F.sum("_n").alias("_all"))  # one row a class
+    picked = [rows.where(F.col("label") == k).orderBy("_o", *FEATURES).limit(sample) for k in (0.0, 1.0)]
+    times = F.greatest(F.lit(1), F.floor(F.col("_n") * F.least(F.lit(1.0), sample / F.col("_all"))).cast("int"))
+    return picked[0].union(picked[1]).join(F.broadcast(total), "label").withColumn("_k", F.explode(F.array_repeat(F.lit(0), times))).select(*FEATURES, "label")
+
+
+def fit_forest(findings: DataFrame, sample: int = SAMPLE):
+    """A forest from (FEATURES..., label) rows, fitted on spread(findings, sample); None if a class is missing."""
+    train = checkpoint(spread(findings, sample).coalesce(1).sortWithinPartitions("label", *FEATURES))
     if train.select("label").distinct().count() < 2:
         return None
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)

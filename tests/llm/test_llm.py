@@ -403,6 +403,23 @@ def test_secret_scan_trains_on_given_findings(spark):
         assert p.where((F.col("v") > 0.6) & (F.col("prediction") == 0)).count() == 0
 
 
+def test_secret_scan_sample_is_spread(spark):
+    one = lambda label, **x: (*(float({"n_chars": 16, "digits": 1, "hex": 1, "distinct": 0.5, **x}.get(c, 0)) for c in secret_scan.FEATURES), label)
+    hashes = [one(0, n_chars=40, digits=0.5 + i / 1000, distinct=0.3) for i in range(40)]
+    secrets = [one(1, n_chars=40, digits=0.5 + i / 1000, distinct=0.3, named=1, assigned=1, quoted=1) for i in range(100)]
+    schema = ", ".join(f"{c} double" for c in secret_scan.FEATURES) + ", label int"
+    for j in range(4):  # whichever hash the equal ones have
+        equal = [one(0, distinct=0.25 + j / 16)] * 10_000
+        found = spark.createDataFrame(equal + hashes + secrets, schema)
+        rows = secret_scan.spread(found).collect()
+        assert len({r for r in rows if r.label == 0}) == 41 and len({r for r in rows if r.label == 1}) == 100
+        assert all(sum(r.label == k for r in rows) <= 2 * secret_scan.SAMPLE for k in (0, 1))
+        assert len([r for r in rows if r.n_chars == 16]) > 3_900
+        model = secret_scan.fit_forest(found)
+        votes = found.select("label", secret_scan.forest_votes(model, F.struct(*secret_scan.FEATURES)).alias("v"))
+        assert votes.where((F.col("v") >= 0.5) != (F.col("label") == 1)).count() == 0
+
+
 def test_secret_scan_odd_rows(spark):
     assert secret_scan.scan(odd_docs(spark)).count() == 0
     assert secret_scan.scan(empty_docs(spark)).count() == 0
