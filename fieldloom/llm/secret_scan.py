@@ -22,12 +22,15 @@ SAMPLE = 4_000
 TREES, DEPTH, SEED = 12, 4, 5
 REDACTED = "[REDACTED]"
 
-CANDIDATE = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+#: One or two closing "=" belong to a value, but not where another value, quoted or not, follows: that one is a name.
+CANDIDATE = r"[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]|[\"'`][A-Za-z0-9_+/-]))?"
 
 #: Fragments of words that random keys rarely hold, names of secrets, and words near harmless values.
 FRAGMENTS = "the|and|ing|tion|ent|ion|ver|que|est|con|for|her|sch|ich|eau|key|test|example|token|user|name|file|data|http|www|com"
 NAMES = r"(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|credential|auth|bearer)"
-HARMLESS = r"(example|sample|dummy|placeholder|commit|revision|sha1|sha256|md5|checksum|order|invoice|card|phone|isbn)"
+HARMLESS = r"(?:(?<=[^A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:example|sample|dummy|placeholder|commit|revision|sha1|sha256|md5|checksum|order|invoice|card|phone|isbn)(?:s|S|sum|SUM)?(?![a-z]|(?<=[A-Z])[A-Z])"
+#: Characters before a candidate that count as next to it.
+NEAR = 32
 
 FEATURES = ("n_chars", "transitions", "digits", "hex", "distinct", "dictionary", "named", "assigned", "quoted", "harmless", "test_path")
 
@@ -35,7 +38,9 @@ FEATURES = ("n_chars", "transitions", "digits", "hex", "distinct", "dictionary",
 def _features(x: Column, left: Column, right: Column, path: Column) -> list[Column]:
     n = F.length(x)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
-    near = F.lower(F.right(left, F.lit(32)))
+    near = F.lower(F.right(left, F.lit(NEAR)))
+    # one character more shows whether a word begins in the window
+    whole = F.right(F.concat(F.lit(" "), left), F.lit(NEAR + 1))
     flag = lambda c: c.cast("double")
     share = lambda pattern: 1 - F.length(F.regexp_replace(x, pattern, "")) / n
     return [
@@ -48,7 +53,7 @@ def _features(x: Column, left: Column, right: Column, path: Column) -> list[Colu
         flag(near.rlike(NAMES)),
         flag(near.rlike(r"[=:]\s*[\"'`]?$")),
         flag(F.substring(right, 1, 1).rlike("[\"'`]")),
-        flag(near.rlike(HARMLESS)),
+        flag(whole.rlike(HARMLESS)),
         flag(F.lower(path).rlike("(test|example|sample|fixture|mock)")),
     ]
 
@@ -63,19 +68,27 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     out = docs.withColumn("_c", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     out = out.where(F.exists("_c", lambda x: x.rlike("[0-9]"))).withColumn("_p", F.split(text, CANDIDATE, -1))
 
+    def before(i):
+        # two candidates and what follows them are longer than the window
+        parts = [F.get(c, i - k) for k, c in ((2, "_c"), (1, "_p"), (1, "_c"), (0, "_p"))]
+        return F.concat(*(F.coalesce(F.when(i >= k, F.right(x, F.lit(NEAR + 1))), F.lit("")) for x, k in zip(parts, (2, 1, 1, 0))))
+
     def describe(x, i):
-        own = _features(x, F.get("_p", i), F.get("_p", i + 1), where)
+        own = _features(x, before(i), F.get("_p", i + 1), where)
         return F.when(x.rlike("[0-9]"), F.struct(*(c.cast("double").alias(n) for c, n in zip(own, FEATURES))))
 
     return out.withColumn("_f", F.transform("_c", describe))
 
 
 def weak_label(f: str = "f") -> Column:
-    """1 for a mixed value assigned to a name of a secret, 0 for one without any sign of it, else null (not labelled)."""
+    """1 for a mixed value assigned to a name of a secret, 0 for digits and for values next to a harmless word, else null.
+
+    Values without a name are not labelled: bare keys look like them, so the forest goes by what it has learned of others.
+    """
     g = lambda c: F.col(f"{f}.{c}")
     return (
         F.when((g("named") > 0) & (g("assigned") > 0) & (g("harmless") == 0) & (g("test_path") == 0) & (g("distinct") > 0.15) & (g("digits") < 1), 1)
-        .when((g("named") == 0) | (g("harmless") > 0) | (g("digits") == 1), 0)
+        .when((g("harmless") > 0) | (g("digits") == 1), 0)
     )
 
 

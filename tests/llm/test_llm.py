@@ -420,6 +420,38 @@ def test_secret_scan_sample_is_spread(spark):
         assert votes.where((F.col("v") >= 0.5) != (F.col("label") == 1)).count() == 0
 
 
+def test_secret_scan_long_names(spark):
+    rng = np.random.default_rng(4)
+    key = lambda n=40: "".join(rng.choice(list("0123456789abcdef"), n))
+    keys = [key() for _ in range(60)]
+    forms = ["AWS_SECRET_ACCESS_KEY=%s", 'database_password = "%s"', "my_service_api_key: '%s'", "recorder border token = %s", 'PRIMARY_DATABASE_PASSWORD="%s"']
+    rows = [(i, f"é word {forms[i % 5] % k} tail", "src1") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"card number 98079157628044{i:02d} and more", "src2") for i in range(40)]
+    rows += [(200 + i, f"see {('commit ', 'Commits: ', 'sha256sum=')[i % 3]}{key()} there", "src2") for i in range(40)]
+    rows += [(300 + i, f"at /usr/share/doc/section_{i:02d}/index and user_name_test_file_{i:02d} here", "src2") for i in range(10)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, _ in rows:
+        assert got[i].redacted == (t.replace(keys[i], secret_scan.REDACTED) if i < 100 else t), t
+
+
+def test_secret_scan_context(spark):
+    a, b = "a1" * 10, "b2" * 12
+    texts = [f"access_token_of_production={a}", f'{b}= {a}==" {b}', f"border {a}", f"an order {a}", f"orderId {a}", f"ORDERED {a}", f"{'x' * 16}=={b}", f"{b} secret={a}", f"rec{'order'} {'.' * 26}{a}"]
+    got = secret_scan.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r._c for r in got] == [["access_token_of_production", a], [b + "=", a + "==", b], [a], [a], [a], [a], ["x" * 16, b], [b, a], [a]]
+    last = [r._f[-1] for r in got]
+    assert [f.named for f in last] == [1, 0, 0, 0, 0, 0, 0, 1, 0]
+    assert [f.assigned for f in last] == [1, 0, 0, 0, 0, 0, 1, 1, 0]
+    assert [f.harmless for f in last] == [0, 0, 0, 1, 1, 0, 0, 0, 0]
+    assert "".join(x for p, c in zip(got[6]._p, [*got[6]._c, ""]) for x in (p, c)) == texts[6]
+
+
+def test_secret_scan_leaves_bare_values_unlabelled(spark):
+    row = (*(float({"n_chars": 40, "hex": 1, "digits": 0.6, "distinct": 0.4}.get(c, 0)) for c in secret_scan.FEATURES),)
+    f = spark.createDataFrame([row], ", ".join(f"{c} double" for c in secret_scan.FEATURES)).select(F.struct("*").alias("f"))
+    assert f.select(secret_scan.weak_label().alias("y")).collect()[0].y is None
+
+
 def test_secret_scan_odd_rows(spark):
     assert secret_scan.scan(odd_docs(spark)).count() == 0
     assert secret_scan.scan(empty_docs(spark)).count() == 0
