@@ -122,6 +122,16 @@ def test_jaccard_join_odd_rows(spark):
     assert sketch_join.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_jaccard_join_emits_a_class_once_a_task():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(50))] * 300 + ["a b c d e f g h", None, ""]
+    batch = lambda t: pa.record_batch({"doc_id": pa.array(range(len(t)), pa.int64()), "text": pa.array(t, pa.string())})
+    rows = lambda batches: sum(len(sketch_join._unpack(x.as_buffer())[0]) for b in sketch_join._emit(5, 4)(batches) for x in b.column("blob"))
+    once = rows([batch([texts[0], *texts[300:]])])
+    assert once > 0 and rows([batch(texts), batch(texts)]) == once
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for n in (5, 80, 700):
