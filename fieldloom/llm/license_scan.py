@@ -1,11 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with notice templates.
 
 Base places are the runs of words of fixed phrases. Beyond those, a text block matches a template when it holds at
-least THRESHOLD of the template's distinct words. The blocks of a template of L words are the 2 L words from every
-multiple of L on, so a notice of up to L + 1 words always lies inside one. All template words are ordered by their
+least THRESHOLD of the template's distinct words, its telling words (TELLING) among them. The blocks of a template of
+L words are the 2 L words from every place on; those that begin with a template word hold what all others do. All template words are ordered by their
 frequency over all documents; the |T| - ceil(c |T|) + 1 rarest ones form a template's prefix, one of which any matching
-block must hold. A block must have ceil(c |T|) words (length filter), its rarest prefix word leaves only the words from
-its place in the order on (positional filter), and the distinct template words of what remains are counted.
+block must hold. The distinct template words are counted in the blocks that hold one.
 """
 
 from __future__ import annotations
@@ -39,6 +38,16 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
 }
 
+#: Words that tell a notice from those of other licenses; a block without one of them does not match.
+TELLING = {
+    "gpl-3.0-notice": "gnu general 3",
+    "gpl-notice": "gnu general",
+    "apache-2.0-notice": "apache 2",
+    "mit-notice": "mit",
+    "cc-by-nc-4.0-notice": "cc by nc 4",
+    "mpl-2.0-notice": "mozilla 2",
+}
+
 
 def compile_templates(templates: dict[str, str], threshold: Fraction, vocabulary: np.ndarray, freq: np.ndarray) -> list[dict]:
     out = []
@@ -48,28 +57,28 @@ def compile_templates(templates: dict[str, str], threshold: Fraction, vocabulary
         need = math.ceil(threshold * len(tokens))
         rank = np.full(len(vocabulary), -1)
         rank[tokens] = np.arange(len(tokens))
-        out.append({"label": label, "length": len(h), "size": len(tokens), "need": need, "prefix": len(tokens) - need + 1, "rank": rank})
+        (telling,) = T.hash_words([TELLING.get(label, "")], "alnum")
+        telling = np.flatnonzero(np.isin(vocabulary[tokens], telling))  # those that this template has
+        out.append({"label": label, "length": len(h), "size": len(tokens), "need": need, "prefix": len(tokens) - need + 1, "rank": rank, "telling": telling})
     return out
 
 
-def best_blocks(pos: np.ndarray, doc: np.ndarray, tok: np.ndarray, per: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(text, distinct template words) of each matching block; pos counts words from the text's start."""
+def best_blocks(pos: np.ndarray, doc: np.ndarray, tok: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(text, distinct template words) of each matching block; pos counts words from the text's start, in order."""
     rank = t["rank"][tok]
     mine = rank >= 0
     pos, doc, rank = pos[mine], doc[mine], rank[mine]
-    length = t["length"]
-    base = int(pos.max(initial=0)) // length + 2
-    block = np.concatenate([pos // length, pos // length - 1])
-    doc, rank = np.tile(doc, 2), np.tile(rank, 2)
-    ok = (block >= 0) & (np.minimum(per[doc] - block * length, 2 * length) >= t["need"])
-    key, rank = (doc * base + block)[ok], rank[ok]
-    keys = np.unique(key[rank < t["prefix"]])
-    ok = np.isin(key, keys)
-    pairs = np.unique(key[ok] * t["size"] + rank[ok])
-    key, at, n = np.unique(pairs // t["size"], return_index=True, return_counts=True)
-    low = pairs[at] % t["size"]
-    ok = (t["size"] - low >= t["need"]) & (n >= t["need"])
-    return key[ok] // base, n[ok]
+    width = 2 * t["length"]
+    place = doc * (int(pos.max(initial=0)) + width + 1) + pos  # blocks end before the next text
+    holds = lambda begin, at: np.searchsorted(at, begin + width) > np.searchsorted(at, begin)
+    ok = holds(place, place[rank < t["prefix"]])
+    doc, begin = doc[ok], place[ok]
+    has = [holds(begin, place[rank == r]) for r in range(t["size"])]
+    n = np.sum(has, axis=0, dtype=np.int64)
+    ok = n >= t["need"]
+    for r in t["telling"]:
+        ok &= has[r]
+    return doc[ok], n[ok]
 
 
 def _scan(shared):
@@ -100,7 +109,7 @@ def _scan(shared):
                 own = [set(x) for x in base]
                 score = np.zeros(n)
                 for t in templates:
-                    d, k = best_blocks(where - begin[doc[where]], doc[where], at[where], per, t)
+                    d, k = best_blocks(where - begin[doc[where]], doc[where], at[where], t)
                     np.maximum.at(score, d, k / t["size"])
                     for x in np.unique(d):
                         own[x].add(t["label"])

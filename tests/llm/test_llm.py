@@ -216,6 +216,16 @@ def test_license_scan(spark):
     assert license_scan.license_scan(empty_docs(spark)).count() == 0
 
 
+def test_license_blocks_slide(spark):
+    grant = "permission is hereby granted free of charge {} to any person obtaining a copy of this software".format(" ".join(f"v{i}" for i in range(13)))
+    rows = [(k, f"{'x ' * k}{grant} {'y ' * 40}", "mit-grant") for k in range(20)]
+    rows += [(90, "released under the BSD license", ""), (91, "licensed under CC BY 4.0", "cc-by"), (92, "This work is licensed under the GNU General Public License version 2", "gpl")]
+    rows += [(93, "released under the MIT license", "mit,mit-notice"), (94, "licensed under CC BY NC 4.0", "cc-by,cc-by-nc-4.0-notice"), (95, "work licensed under the GNU General Public License version 3", "gpl,gpl-3.0-notice")]
+    got = license_scan.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: labels for i, _, labels in rows}
+    assert all(r.score == 1 for r in got if r.doc_id < 90)
+
+
 # 6
 def test_token_counts(spark):
     from tokenizers import Tokenizer
