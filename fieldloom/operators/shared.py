@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Narrow rows that one task of an iterative stage takes, and the tasks that it has at least.
 ROWS_A_TASK, LEAST_TASKS = 50_000, 8
+#: Rows of whole texts that a task holds at a time.
+BATCH_ROWS = 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let tasks read and hand to Python at most BATCH_ROWS rows of whole texts at a time.
+
+    Spark's own batches (4,096 and 10,000 rows) take tens of megabytes of text each, in the JVM and again in Python.
+    Batches that the user has set smaller stay.
+    """
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -30,21 +43,35 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(n) if n < partitions(df.sparkSession) else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The folder is the session's own; spark.checkpoint.dir is used where none was set yet, and a temporary one only
-    where the cluster names none, as in tests.
+    Without that setting a local master gets a folder of its own (tests); on a cluster it is an error, as no folder of
+    one machine would do.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    global _local
+    _local = _local or tempfile.mkdtemp(prefix="fieldloom-")
+    return _local
+
+
+_local: str | None = None
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join of wide rows with narrow ids; the ids are broadcast only if they were counted to be few."""
-    ids = ids.select(on).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Semi or anti join of wide rows with narrow ids, which are computed once; they are broadcast only if counted to be few."""
+    ids = checkpoint(ids.select(on).distinct())
+    few = ids.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids, on, how)

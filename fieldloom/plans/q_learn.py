@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from fieldloom.operators import cluster as C
 from fieldloom.operators import graph as G
 from fieldloom.operators import raster as R
 from fieldloom.operators import sets
+from fieldloom.operators.shared import shared_folder
 from fieldloom.plans.q_raster import image_key
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
@@ -20,7 +20,7 @@ r6 = lambda c: F.round(c, 6)
 
 
 def folder(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fieldloom-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def step_sql(i: int, median: bool = False) -> str:

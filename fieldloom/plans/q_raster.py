@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators import raster as R
+from fieldloom.operators.shared import shared_folder
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
 
@@ -547,11 +548,10 @@ def s4(spark, d):
 @query("s3_runs_round_trip", B.RASTER, B.LABELMAP, "select image_id, r, c, label from lab")
 def s3(spark, d):
     """Write runs as text, read and expand them; the audit of the text must be empty."""
-    import tempfile
     import uuid
 
     from fieldloom.sources import runs
 
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fieldloom-')}/runs-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     runs.write_runs(runs.to_runs(B.label_map(B.raster(spark, d))), out)
     return runs.expand(runs.read_runs(spark, out))

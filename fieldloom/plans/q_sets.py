@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators import rank, sets
+from fieldloom.operators.shared import shared_folder
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
 
@@ -443,12 +444,11 @@ def s1(spark, d):
 @query("s2_materialize_once", B.SEG, NSEG, "select image_id, segment_id, n from n")
 def s2(spark, d):
     """Two runs over one stage table: the second computes only what the first left out."""
-    import tempfile
     import uuid
 
     from fieldloom.sources.stage import materialize_once
 
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='fieldloom-')}/stage-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     seg = B.seg_pixels(spark, d)
     materialize_once(seg.where("segment_id % 2 = 0"), sets.sizes, "segment_id", out)
     return materialize_once(seg, sets.sizes, "segment_id", out)
