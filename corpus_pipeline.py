@@ -6,7 +6,6 @@ as the next one's docs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import decontam, mixing, quality, secret_scan, sketch_join
 from fieldloom.llm.queries import SHARE, WEIGHTS
-from fieldloom.operators.shared import keep_ids, table
+from fieldloom.operators.shared import keep_ids, shared_folder, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"

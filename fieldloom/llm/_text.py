@@ -1,7 +1,8 @@
 """Vectorised work on whole blocks of texts: word spans and 64-bit word hashes straight from the UTF-8 bytes.
 
 A block is some rows of an Arrow batch whose texts take about BLOCK bytes together; a longer text is a block by itself
-and is never cut. Memory of a task is about 40 times the larger of BLOCK and its longest text.
+and is never cut. Memory of a task is about 40 times the larger of BLOCK and its longest text: 20 MB for short texts,
+4 GB for one of 100 MB, which needs executors to match.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+from fieldloom.operators.shared import bounded_batches
+
+BLOCK = 1 << 19
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -73,7 +78,13 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and whole text (string) of each row of docs; no other column is read, whatever its name."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = BLOCK):
@@ -156,8 +167,6 @@ def signed(x: np.ndarray) -> pa.Array:
 
 def vocabulary_counts(docs, vocabulary: np.ndarray, kind: str) -> np.ndarray:
     """How often each of the word hashes (sorted, few) stands in all texts: partial counts by task, then their sums."""
-    from pyspark.sql import functions as F
-
     want = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):

@@ -154,7 +154,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, bloc
     rows and ids get equal results. An empty benchmark hits nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     state = docs.selectExpr("doc_id", "text", "cast(array() as array<long>) as spans", "cast(array() as array<string>) as items")
     schema = "doc_id long, n_words long, spans array<long>, items array<string>"
     held = list(_two(_item_blocks(benchmark, block_words)))

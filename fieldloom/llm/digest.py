@@ -63,7 +63,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of each row of docs; null texts count as empty."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     return docs.mapInArrow(_fingerprints, "doc_id long, fingerprint string")
 
 
@@ -142,7 +142,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     cuts = docs.select(F.percentile_approx("doc_id", [k / (4 * n) for k in range(1, 4 * n)], 100 * n).alias("q")).first()["q"]
     bounds = sc.broadcast(np.unique(np.array(cuts or [], np.int64)))
     tops = docs.select("doc_id").mapInArrow(_tops(bounds), "part long, top long").groupBy("part").agg(F.max("top").alias("top"))

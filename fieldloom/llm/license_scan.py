@@ -133,7 +133,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     empty texts have no words, empty labels and score 0; repeated rows get equal results; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     phrases = list(zip(T.hash_words(list(PHRASES), "alnum"), PHRASES.values()))
     vocabulary = np.unique(np.concatenate([*T.hash_words(list(templates), "alnum"), *(h for h, _ in phrases)]))
     freq = T.vocabulary_counts(docs, vocabulary, "alnum")

@@ -75,7 +75,7 @@ def rate_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: in
     else:
         model = np.zeros(dims), np.full(n_grades - 1, -5.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     out = docs.mapInArrow(_score(shared, dims), "doc_id long, expected_grade double, tail_probability double")
     return out.withColumn("keep", F.col("tail_probability") >= F.lit(keep))
 

@@ -1,95 +1,259 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of 16 or more key characters with a digit. Each is described by its length, character transitions,
-dictionary coverage and alphabet, by the path it was found under and by the words next to it. A forest trained on
-labelled findings then votes. The fitted trees become one Column expression, so scanning is a projection: no join, no
-shuffle, and the text can be redacted in the same row.
+Candidates are runs of key characters: 16 or more anywhere, 8 or more where something is assigned. Each is described by
+its length and alphabet, by its character transitions (mean log-likelihood of its letter pairs among the corpus's
+words), by dictionary coverage (its parts among the corpus's frequent words), by the path it was found under, and by the
+words next to it. A forest trained on labelled findings then votes. The fitted trees become one Column expression, so
+scanning is a projection: no join, no shuffle, and the text can be redacted in the same row.
+
+Labelled findings come from the caller or are planted: seeded keys, passwords and look-alikes (commit hashes, checksums,
+order numbers, identifiers, paths, prose in base64, placeholders, test fixtures) between words of sampled documents.
+Their labels say what was planted; no rule over the features makes them. What a neighbouring word says is learned from
+one half of the findings, the forest from the other.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.shared import checkpoint
+from fieldloom.operators.shared import bounded_batches, checkpoint
 
-#: Distinct labelled findings of each class that the forest is fitted on, at most.
-SAMPLE = 4_000
-TREES, DEPTH, SEED = 12, 4, 5
+#: Findings that are planted, in so many documents at most; distinct findings of each class that the forest is fitted on.
+FINDINGS, CONTEXTS, SAMPLE = 10_000, 2_500, 6_000
+TREES, DEPTH, SEED = 16, 7, 5
+#: Frequent words of the corpus that make the dictionary, and neighbouring words with a meaning, at most.
+DICTIONARY, NEIGHBOURS = 4_000, 300
 REDACTED = "[REDACTED]"
 
+_KEY = r"[A-Za-z0-9_+/.-]"
 #: One or two closing "=" belong to a value, but not where another value, quoted or not, follows: that one is a name.
-CANDIDATE = r"[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]|[\"'`][A-Za-z0-9_+/-]))?"
+_END = r"[A-Za-z0-9_+/-](?:={1,2}(?![A-Za-z0-9_+/=-]|[\"'`][A-Za-z0-9_+/-]))?"
+#: What precedes an assigned value, that value; or a long value.
+CANDIDATE = rf"([=:]\s{{0,3}}[\"'`]?)({_KEY}{{7,}}{_END})|(?<!{_KEY})({_KEY}{{15,}}{_END})"
+#: Characters before and after a candidate that count as next to it.
+NEAR, AFTER = 40, 12
+#: Marks a candidate's ends while a text is cut (a noncharacter); where a text holds it, its own digest is put between two.
+_MARK = "\ufdd0"
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0"
 
-#: Fragments of words that random keys rarely hold, names of secrets, and words near harmless values.
-FRAGMENTS = "the|and|ing|tion|ent|ion|ver|que|est|con|for|her|sch|ich|eau|key|test|example|token|user|name|file|data|http|www|com"
-NAMES = r"(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|credential|auth|bearer)"
-HARMLESS = r"(?:(?<=[^A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:example|sample|dummy|placeholder|commit|revision|sha1|sha256|md5|checksum|order|invoice|card|phone|isbn)(?:s|S|sum|SUM)?(?![a-z]|(?<=[A-Z])[A-Z])"
-#: Characters before a candidate that count as next to it.
-NEAR = 32
+FEATURES = (
+    "n_chars", "transitions", "likelihood", "digits", "hex", "upper", "marks", "distinct", "dictionary",
+    "neighbours", "nearest", "assigned", "quoted", "in_path", "test_path",
+)
 
-FEATURES = ("n_chars", "transitions", "digits", "hex", "distinct", "dictionary", "named", "assigned", "quoted", "harmless", "test_path")
 
+class Corpus(NamedTuple):
+    """What the corpus's words say: log-likelihoods of letter pairs (row by row over _ALPHABET, 0 for other characters),
+    frequent words, and the meaning (log-odds) of neighbouring words. All three are bounded by constants."""
 
-def _features(x: Column, left: Column, right: Column, path: Column) -> list[Column]:
+    pairs: list[float]
+    words: list[str]
+    neighbours: dict[str, float]
+
+
+def _folded(x: Column) -> Column:
+    return F.translate(F.lower(x), "123456789", "0" * 9)
+
+
+def word_statistics(docs: DataFrame, dictionary: int = DICTIONARY) -> Corpus:
+    """Counts over the words of all documents: the frequent ones of four letters or more, and their letter pairs."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = F.translate(F.lower(text), "123456789\t\n\r.,;:!?\"'()[]{}|/", "0" * 9 + " " * 18)
+    words = docs.select(F.explode(F.split(plain, " ")).alias("w")).where("length(w) between 2 and 40")
+    words = checkpoint(words.groupBy("w").agg(F.count("*").alias("n")).where("w rlike '^[a-z0]+$'"))
+    known = words.where("length(w) >= 4 and instr(w, '0') = 0").orderBy(F.desc("n"), "w").limit(dictionary).select("w").collect()
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p")
+    counts = {r.p: r.n for r in words.select(pair, "n").groupBy("p").agg(F.sum("n").alias("n")).collect()}  # 27^2 at most
+    size = len(_ALPHABET)
+    table = [0.0] * (size + 1) ** 2
+    for i, a in enumerate(_ALPHABET, 1):
+        total = sum(counts.get(a + b, 0) for b in _ALPHABET) + size
+        for j, b in enumerate(_ALPHABET, 1):
+            table[i * (size + 1) + j] = (counts.get(a + b, 0) + 1) / total
+    return Corpus([round(math.log(v), 6) if v else 0.0 for v in table], [r.w for r in known], {})
+
+
+def neighbour_words(left: Column, right: Column) -> Column:
+    """The distinct words next to a candidate, those on its right marked."""
+    own = lambda x: F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: F.length(w) > 1)
+    return F.array_distinct(F.concat(own(F.right(left, F.lit(NEAR))), F.transform(own(F.left(right, F.lit(AFTER))), lambda w: F.concat(F.lit(">"), w))))
+
+
+def _numbers(x: list) -> Column:
+    """A table as a constant array: one literal that Catalyst folds, however long."""
+    return F.split(F.lit(" ".join(map(repr, x)) or "0"), " ").cast("array<double>")
+
+
+def _features(x: Column, left: Column, right: Column, path: Column, corpus: Corpus) -> list[Column]:
     n = F.length(x)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
-    near = F.lower(F.right(left, F.lit(NEAR)))
-    # one character more shows whether a word begins in the window
-    whole = F.right(F.concat(F.lit(" "), left), F.lit(NEAR + 1))
+    near = F.right(left, F.lit(NEAR))
     flag = lambda c: c.cast("double")
     share = lambda pattern: 1 - F.length(F.regexp_replace(x, pattern, "")) / n
+    size = len(_ALPHABET) + 1
+    codes = F.transform(F.split(_folded(x), ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    pairs, dictionary = _numbers(corpus.pairs), F.split(F.lit(" ".join(corpus.words)), " ")
+    both = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * size + b + 1)
+    steps = F.aggregate(both, F.lit(0.0), lambda s, i: s + F.element_at(pairs, i))
+    parts = F.split(F.lower(F.regexp_replace(x, "([a-z])(?=[A-Z])", "$1 ")), "[^a-z]+")
+    known = F.filter(parts, lambda w: (F.length(w) >= 4) & F.array_contains(dictionary, w))
+    names, odds = F.split(F.lit(" ".join(corpus.neighbours)), " "), _numbers(list(corpus.neighbours.values()))
+    says = lambda w: F.coalesce(F.get(odds, F.array_position(names, w).cast("int") - 1), F.lit(0.0)) if corpus.neighbours else F.lit(0.0)
+    words = neighbour_words(left, right)
+    before = F.filter(words, lambda w: ~w.startswith(">"))
     return [
         n.cast("double"),
         (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n,
+        steps / (n - 1),
         share("[0-9]"),
         share("[0-9a-fA-F]"),
+        share("[A-Z]"),
+        share("[^A-Za-z0-9]"),
         F.size(F.array_distinct(F.split(x, ""))) / n,
-        1 - F.length(F.regexp_replace(F.lower(x), FRAGMENTS, "")) / n,
-        flag(near.rlike(NAMES)),
+        F.aggregate(known, F.lit(0.0), lambda s, w: s + F.length(w)) / n,
+        F.aggregate(words, F.lit(0.0), lambda s, w: s + says(w)),
+        says(F.get(before, F.size(before) - 1)),
         flag(near.rlike(r"[=:]\s*[\"'`]?$")),
         flag(F.substring(right, 1, 1).rlike("[\"'`]")),
-        flag(whole.rlike(HARMLESS)),
+        flag(near.rlike("[/@]$") | x.rlike("/[A-Za-z0-9_.-]*/")),
         flag(F.lower(path).rlike("(test|example|sample|fixture|mock)")),
     ]
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """Rows of docs with candidates: all columns, and arrays _c (candidates), _p (the text between them), _f (features).
+def _cut(text: Column) -> Column:
+    """The text as an array: what precedes a candidate, the candidate, what follows, and so on; one pass of the pattern."""
 
-    _c holds every run of key characters, so that _p and _c make up the text; _f is null for those without a digit.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    out = docs.withColumn("_c", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    out = out.where(F.exists("_c", lambda x: x.rlike("[0-9]"))).withColumn("_p", F.split(text, CANDIDATE, -1))
+    def by(mark: Column) -> Column:
+        return F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(F.lit("$1"), mark, F.lit("$2$3"), mark)), mark, -1)
 
-    def before(i):
-        # two candidates and what follows them are longer than the window
-        parts = [F.get(c, i - k) for k, c in ((2, "_c"), (1, "_p"), (1, "_c"), (0, "_p"))]
-        return F.concat(*(F.coalesce(F.when(i >= k, F.right(x, F.lit(NEAR + 1))), F.lit("")) for x, k in zip(parts, (2, 1, 1, 0))))
+    return F.when(F.instr(text, _MARK) == 0, by(F.lit(_MARK))).otherwise(by(F.concat(F.lit(_MARK), F.md5(text), F.lit(_MARK))))
 
-    def describe(x, i):
-        own = _features(x, before(i), F.get("_p", i + 1), where)
-        return F.when(x.rlike("[0-9]"), F.struct(*(c.cast("double").alias(n) for c, n in zip(own, FEATURES))))
 
-    return out.withColumn("_f", F.transform("_c", describe))
+def _once(c: Column) -> Column:
+    """c, in a projection that filters are not pushed through: they would compute it again, lambdas once an element."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def weak_label(f: str = "f") -> Column:
-    """1 for a mixed value assigned to a name of a secret, 0 for digits and for values next to a harmless word, else null.
+def described(text: Column, path: Column, corpus: Corpus) -> tuple[Column, Column]:
+    """(cut text, features of each of its parts, as arrays: null for those between candidates and for mere punctuation)."""
+    parts = _cut(F.coalesce(text.cast("string"), F.lit("")))
 
-    Values without a name are not labelled: bare keys look like them, so the forest goes by what it has learned of others.
-    """
-    g = lambda c: F.col(f"{f}.{c}")
-    return (
-        F.when((g("named") > 0) & (g("assigned") > 0) & (g("harmless") == 0) & (g("test_path") == 0) & (g("distinct") > 0.15) & (g("digits") < 1), 1)
-        .when((g("harmless") > 0) | (g("digits") == 1), 0)
-    )
+    def before(all_, i):
+        # what stands before a candidate, as far as NEAR reaches: four parts are two candidates and the text between them
+        last = F.slice(all_, F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4)))
+        return F.array_join(F.transform(last, lambda x: F.right(x, F.lit(NEAR))), "")
+
+    def features(all_):
+        def one(x, i):
+            own = _features(x, before(all_, i), F.concat(F.get(all_, i + 1), F.coalesce(F.get(all_, i + 2), F.lit(""))), F.coalesce(path.cast("string"), F.lit("")), corpus)
+            return F.when((i % 2 == 1) & x.rlike("[A-Za-z0-9]{3}"), F.array(*(c.cast("double") for c in own)))
+
+        return F.transform(all_, one)
+
+    return parts, features
+
+
+# labelled findings
+#: Names of what is secret and of what is not, and how values stand in texts (n: name, N: in capitals).
+SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "access_token", "auth_token", "client_secret", "private_key", "credential", "secret_access_key", "db_password", "bearer")
+OTHER_NAMES = ("commit", "commits", "revision", "sha1", "sha256", "sha256sum", "md5", "checksum", "digest", "etag", "order", "order number", "invoice", "tracking", "serial", "isbn", "phone", "card number", "uuid", "request id", "build", "version", "hash", "id", "url", "path", "file", "image", "ref")
+ASSIGNED = ('{n} = "{v}"', "{n}: '{v}'", "{N}={v}", '"{n}": "{v}"', "{n} = {v}", 'export {N}="{v}"', "my_{n}=`{v}`", "{n}: {v}", "SERVICE_{N}: {v}", "--{n} {v}", "{n} is {v}", "Bearer {v}")
+NAMED = ("{n} {v}", "{n}: {v}", "{n}={v}", '{n} = "{v}"', "({n} {v})", "{n} {v}.", "see {v} there", "at {v}")
+
+
+def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS, seed: int = SEED, path: str = "source") -> DataFrame:
+    """text, path, value, kind, label: about `findings` seeded values between words of at most `contexts` documents."""
+    picked = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(contexts)
+    picked = checkpoint(picked)
+    n = picked.count()
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), where.alias("path")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("text", "path")).alias("d"))  # `contexts` rows at most
+    rows = rows.select("doc_id", F.split("d.text", r"\s+").alias("w"), "d.path", F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-findings // max(1, n)))))).alias("turn"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("turn").cast("string"))
+    draw = lambda what, k: F.pmod(F.xxhash64(key, F.lit(what)), F.lit(k)).cast("int")
+    pick = lambda what, options: F.get(F.array(*(F.lit(x) if isinstance(x, str) else x for x in options)), draw(what, len(options)))
+    hexes = F.sha2(key, 512)
+    b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(key, F.lit("b")), 512))), "[=\r\n]", "")
+    b62, letters = F.regexp_replace(b64, "[+/]", ""), F.regexp_replace(b64, "[^A-Za-z]", "")
+    numbers = F.translate(F.sha2(F.concat(key, F.lit("d")), 512), "abcdef", "135790")
+    cut = lambda c, k, at=1: F.substring(c, at, k)
+    at = draw("at", 1 << 30) % F.greatest(F.lit(1), F.size("w"))
+    near = F.filter(F.slice("w", at + 1, 40), lambda x: x.rlike(r"^[^\s\"'`=:$%#&*|!]{2,14}$"))
+    name = F.regexp_replace(F.lower(F.array_join(F.slice(near, 1, 3), "_")), "[^a-z_]", "x")
+    prose = F.regexp_replace(F.base64(F.encode(F.concat(F.array_join(F.slice("w", at + 1, 12), " "), F.lit(" it is")), "utf-8")), "[=\r\n]", "")
+    secret = {
+        "hex": cut(hexes, 40), "hex32": cut(hexes, 32), "hexcaps": F.upper(cut(hexes, 40)), "base64": cut(b64, 40), "long": b64, "base62": cut(b62, 24), "short": cut(b62, 12), "letters": cut(letters, 20),
+        "password": F.concat(cut(letters, 6), pick("mark", ("-", "_", "+", ".")), cut(numbers, 4)),
+    }
+    bare = {
+        "cloud": F.concat(F.lit("AKIA"), F.upper(cut(b62, 16))), "host": F.concat(F.lit("ghp_"), cut(b62, 36)), "pay": F.concat(F.lit("sk_live_"), cut(b62, 24)),
+        "signed": F.concat(F.lit("eyJ"), cut(b62, 20), F.lit(".eyJ"), cut(b62, 24, 20), F.lit("."), cut(b62, 30, 40)),
+        "chat": F.concat(F.lit("xoxb-"), cut(numbers, 11), F.lit("-"), cut(b62, 24)),
+    }
+    other = {
+        "hash": cut(hexes, 40), "sum": hexes.substr(1, 64), "md5": cut(hexes, 32), "number": cut(numbers, 16), "digits": cut(numbers, 20), "grouped": F.concat_ws("-", cut(numbers, 4), cut(numbers, 4, 5), cut(numbers, 4, 9), cut(numbers, 4, 13)),
+        "uuid": F.concat_ws("-", cut(hexes, 8), cut(hexes, 4, 9), cut(hexes, 4, 13), cut(hexes, 4, 17), cut(hexes, 12, 21)), "prose": prose,
+        "time": F.concat(F.lit("2024-0"), cut(numbers, 1), F.lit("-1"), cut(numbers, 1, 2), F.lit("T10.2"), cut(numbers, 1, 3), F.lit("."), cut(numbers, 6, 4), F.lit("Z")),
+        "package": F.concat(name, F.lit("-"), cut(numbers, 1), F.lit("."), cut(numbers, 2, 2), F.lit("."), cut(numbers, 1, 4), F.lit("-x86_64.tar")),
+    }
+    plain = {
+        "path": F.concat(F.lit("/usr/share/"), F.regexp_replace(name, "_", "/"), F.lit("_"), cut(numbers, 2), F.lit("/index")), "dotted": F.concat(F.lit("www."), F.regexp_replace(name, "_", "."), F.lit(".example.org/"), cut(numbers, 3)),
+        "identifier": F.concat(name, F.lit("_file_"), cut(numbers, 2)), "camel": F.concat(F.regexp_replace(F.initcap(F.regexp_replace(name, "_", " ")), " ", ""), F.lit("Handler")),
+        "word": F.regexp_replace(name, "_", ""), "score": F.concat(name, F.lit("_"), name),
+    }
+    dummy = {
+        "example": F.concat(F.lit("EXAMPLE"), F.upper(F.regexp_replace(name, "_", "")), F.lit("KEY")), "your": F.concat(F.lit("your-"), F.regexp_replace(name, "_", "-"), F.lit("-here")), "crosses": F.lit("x" * 20),
+        "change": F.lit("changeme-changeme"), "zeros": F.lit("0" * 24), "words": name, "count": F.lit("1234567890123456"),
+    }
+    one = lambda kind, label, value, form, names, where: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), value.alias("value"), form.alias("form"), names.alias("name"), where.alias("path"))
+    mine, fixture = F.col("path"), F.concat(F.lit("tests/fixtures/"), F.col("path"))
+    named, assigned = pick("n", SECRET_NAMES), pick("f", ASSIGNED)
+    options = [one(k, 1, v, assigned, named, mine) for k, v in secret.items()]
+    options += [one(k, 1, v, pick("f", (*ASSIGNED, "{v}", "use {v} here")), named, mine) for k, v in bare.items()]
+    options += [one(k, 0, v, pick("f", NAMED), pick("o", OTHER_NAMES), mine) for k, v in other.items()]
+    options += [one(k, 0, v, pick("f", (*NAMED, "{v}", "{v},", '"{v}"')), pick("o", (*OTHER_NAMES, "name", "label", "title")), mine) for k, v in plain.items()]
+    options += [one(f"dummy-{k}", 0, v, assigned, named, mine) for k, v in dummy.items()]
+    options += [one(f"fixture-{k}", 0, secret[k], assigned, named, fixture) for k in ("hex", "base62")]
+    rows = rows.select("w", at.alias("at"), F.get(F.array(*options), draw("kind", len(options))).alias("x"))
+    said = F.replace(F.replace(F.replace("x.form", F.lit("{n}"), F.col("x.name")), F.lit("{N}"), F.upper("x.name")), F.lit("{v}"), F.col("x.value"))
+    left, right = F.slice("w", F.greatest(F.lit(1), F.col("at") - 6), F.least(F.col("at"), F.lit(7))), F.slice("w", F.col("at") + 1, 7)
+    rows = rows.where("length(x.value) >= 8")
+    return checkpoint(rows.select(F.concat_ws(" ", F.array_join(left, " "), said, F.array_join(right, " ")).alias("text"), "x.path", "x.value", "x.kind", "x.label"))
+
+
+def _overlaps(x: Column) -> Column:
+    return (F.instr(F.col("value"), x) > 0) | (F.instr(x, F.col("value")) > 0)
+
+
+def neighbour_meaning(found: DataFrame, most: int = NEIGHBOURS) -> dict[str, float]:
+    """Log-odds of the words next to planted values: the `most` strongest of those that stand next to five or more."""
+    parts = _cut(F.col("text"))
+    i = F.array_position(F.transform("parts", lambda x: _overlaps(x)), True).cast("int") - 1
+    rows = found.select("value", "label", parts.alias("parts")).withColumn("i", i).where("i >= 0")
+    left = F.array_join(F.slice("parts", F.lit(1), F.col("i")), "")
+    words = rows.select("label", F.explode(neighbour_words(left, F.coalesce(F.get("parts", F.col("i") + 1), F.lit("")))).alias("w"))
+    counts = words.groupBy("w").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "w").limit(10 * most).collect()
+    total = rows.agg(F.sum("label"), F.count("*")).first()
+    prior = math.log((total[0] + 1) / (total[1] - total[0] + 1)) if total[1] else 0.0
+    odds = {r.w: round(math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - prior, 4) for r in counts}
+    return dict(sorted(sorted(odds.items(), key=lambda kv: (-abs(kv[1]), kv[0]))[:most]))
+
+
+def labelled(found: DataFrame, corpus: Corpus) -> DataFrame:
+    """FEATURES, kind and label of the candidates that overlap their row's planted value."""
+    parts, features = described(F.col("text"), F.col("path"), corpus)
+    rows = found.select("value", "kind", "label", "path", parts.alias("parts"))
+    rows = rows.select("value", "kind", "label", F.explode(F.arrays_zip(F.col("parts").alias("x"), features(F.col("parts")).alias("f"))).alias("c"))
+    rows = rows.where(F.col("c.f").isNotNull() & _overlaps(F.col("c.x")))
+    return rows.select(*(F.get("c.f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)), "kind", "label")
 
 
 def spread(findings: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -119,19 +283,28 @@ def fit_forest(findings: DataFrame, sample: int = SAMPLE):
 
 
 def forest_votes(model, f: Column) -> Column:
-    """The share of trees that vote 1, as an expression over the struct f of FEATURES."""
-    votes = [_tree(iter(x)) for x in _tree_lines(model.toDebugString)]
+    """The share of trees that vote 1, as an expression over the array f of FEATURES: the trees are constant arrays of
+    nodes (feature or -1 at a leaf, cut or vote, children), walked from their roots."""
+    nodes: list[tuple] = []
+
+    def put(t) -> int:
+        at = len(nodes)
+        nodes.append((-1, t, 0, 0))
+        if not isinstance(t, float):
+            k, cut, low, high = t
+            nodes[at] = (k, cut, put(low), put(high))
+        return at
 
-    def build(t) -> Column:
-        if isinstance(t, float):
-            return F.lit(t)
-        k, cut, low, high = t
-        return F.when(f[FEATURES[k]] <= F.lit(cut), build(low)).otherwise(build(high))
+    roots = _numbers([put(_tree(iter(x))) for x in _tree_lines(model.toDebugString)])
+    feature, cut, low, high = (_numbers(list(x)) for x in zip(*nodes))
+    get = lambda table, i: F.element_at(table, i.cast("int") + 1)
 
-    total = F.lit(0.0)
-    for t in votes:
-        total = total + build(t)
-    return total / len(votes)
+    def step(at, _):
+        own = get(feature, at)
+        return F.when(own < 0, at).when(get(f, own) <= get(cut, at), get(low, at)).otherwise(get(high, at))
+
+    walk = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), root, step)
+    return F.aggregate(roots, F.lit(0.0), lambda s, root: s + get(cut, walk(root))) / F.size(roots)
 
 
 def _tree_lines(debug: str) -> list[list[str]]:
@@ -155,55 +328,80 @@ def _tree(lines):
     return int(m[1]), float(m[2]), low, _tree(lines)
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
+def trained(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", seed: int = SEED):
+    """(forest or None, Corpus) for docs; findings: labelled rows of FEATURES, or None for planted ones."""
+    corpus = word_statistics(docs)
+    if findings is None:
+        found = planted(docs, seed=seed, path=path)
+        half = F.pmod(F.xxhash64("value", "text"), F.lit(2))
+        corpus = corpus._replace(neighbours=neighbour_meaning(found.where(half == 0)))
+        findings = labelled(found.where(half == 1), corpus)
+    return fit_forest(findings), corpus
+
+
+def _scanned(text: Column, path: Column, model, corpus: Corpus) -> tuple:
+    parts, features = described(text, path, corpus)
+    vote = (lambda f: forest_votes(model, f)) if model else (lambda f: F.lit(0.0))
+    votes = lambda all_: F.transform(features(all_), lambda f: F.when(f.isNotNull(), F.round(vote(f), 6)))
+    return parts, votes
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source", model=None) -> DataFrame:
     """Rows of docs with candidates: all columns, `found` and `redacted`.
 
     found: array of (finding, start, length, votes, is_secret, sha256), start in code points; redacted: the text with
-    each secret replaced. findings: labelled rows of FEATURES and label; by default those that weak_label() names among
-    all candidates. If a class has no labelled finding, named and assigned values count as secrets. Null or empty texts
-    and an empty table have no candidates; repeated rows get equal results; columns named found, redacted, _c, _p or _f
-    are replaced.
+    each secret replaced. findings: labelled rows of FEATURES and label, planted ones by default; if a class has no
+    labelled finding nothing counts as a secret. model: what trained() returned, to use it again. Null or empty texts
+    and an empty table have no candidates; repeated rows get equal results and equal votes are ties that all count;
+    texts are cut whole, at any length, in one row. A column named found or redacted is replaced; all other names of
+    docs are free.
     """
-    docs = docs.drop("found", "redacted", "_c", "_p", "_f")
-    rows = candidates(docs, path)
-    if findings is None:
-        f = checkpoint(rows.select(F.explode("_f").alias("f")).where("f is not null"))
-        findings = f.select("f.*", weak_label().alias("label"))
-    model = fit_forest(findings)
-    vote = (lambda f: forest_votes(model, f)) if model else (lambda f: f["named"] * f["assigned"])
-    rows = rows.withColumn("_v", F.transform("_f", lambda f: F.when(f.isNotNull(), F.round(vote(f), 6))))
-    size = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
-    step = F.zip_with(F.slice(size("_p"), 1, F.size("_c")), size("_c"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    ends = F.aggregate(step, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["a"] + x["b"])))
-    rows = rows.withColumn("_e", ends)
-    secret = lambda i: F.coalesce(F.get("_v", i) >= F.lit(threshold), F.lit(False))
+    bounded_batches(docs.sparkSession)
+    model, corpus = model or trained(docs, findings, path)
+    keep = [c for c in docs.columns if c.lower() not in ("found", "redacted")]
+    where = F.col("row").getField(path) if path in docs.columns else F.lit("")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in (keep if "text" in keep else [*keep, "text"]))).alias("row"))
+    parts, votes = _scanned(F.col("row").getField("text"), where, model, corpus)
+    rows = rows.withColumn("parts", _once(parts)).where(F.size("parts") > 1)
+    rows = rows.withColumn("votes", _once(votes(F.col("parts"))))
+    size = F.transform("parts", lambda x: F.length(x).cast("long"))
+    starts = F.aggregate(size, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    # the arrays are zipped, as a lambda that reads a column by index may have it computed for every element
+    rows = rows.select("row", F.arrays_zip("parts", "votes", starts.alias("starts")).alias("c"))
+    counts = lambda c: c["votes"] >= F.lit(threshold)
     one = F.transform(
-        "_c",
-        lambda x, i: F.when(
-            F.get("_v", i).isNotNull(),
-            F.struct(
-                i.cast("long").alias("finding"), (F.get("_e", i + 1) - F.length(x)).cast("long").alias("start"), F.length(x).cast("long").alias("length"),
-                F.get("_v", i).alias("votes"), secret(i).alias("is_secret"), F.sha2(x, 256).alias("sha256"),
-            ),
+        F.filter("c", lambda c: c["votes"].isNotNull()),
+        lambda c, i: F.struct(
+            i.cast("long").alias("finding"), c["starts"].alias("start"), F.length(c["parts"]).cast("long").alias("length"),
+            c["votes"].alias("votes"), counts(c).alias("is_secret"), F.sha2(c["parts"], 256).alias("sha256"),
         ),
     )
-    safe = F.transform("_c", lambda x, i: F.concat(F.get("_p", i), F.when(secret(i), F.lit(REDACTED)).otherwise(x)))
-    rows = rows.withColumn("found", F.filter(one, lambda x: x.isNotNull()))
-    rows = rows.withColumn("redacted", F.concat(F.array_join(safe, ""), F.element_at("_p", -1)))
-    return rows.select(*docs.columns, "found", "redacted")
+    safe = F.filter("c", lambda c: c["parts"].isNotNull())
+    safe = F.transform(safe, lambda c: F.when(counts(c), F.lit(REDACTED)).otherwise(c["parts"]))
+    rows = rows.select("row", one.alias("found"), F.array_join(safe, "").alias("redacted"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in keep), "found", "redacted")
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
+def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, path: str = "source", model=None) -> DataFrame:
     """docs with secrets replaced in text, and n_chars, if there, counted anew where the text changed.
 
-    The scan marks rows in place, so every row stays, with its other columns.
+    Every row stays, in its place and with its other columns, whatever their names; a null text stays null. Rows without
+    a secret are unchanged. Empty tables, ties, repeated rows and long texts: as in scan().
     """
-    columns = docs.columns
-    key = docs.withColumn("_has", F.exists(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9]")))
-    done = scan(key.where("_has").drop("_has"), **options)
-    changed = F.exists("found", lambda x: x["is_secret"])
-    new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
-    done = done.select(*(new.get(c, F.col(c)).alias(c) for c in columns))
-    return key.where("not coalesce(_has, false)").select(*columns).unionByName(done)
+    bounded_batches(docs.sparkSession)
+    model, corpus = model or trained(docs, findings, path)
+    where = F.col("row").getField(path) if path in docs.columns else F.lit("")
+    rows = docs.select(F.struct("*").alias("row"))
+    parts, votes = _scanned(F.col("row").getField("text"), where, model, corpus)
+    rows = rows.withColumn("parts", _once(parts))
+    rows = rows.withColumn("votes", F.when(F.size("parts") > 1, votes(F.col("parts"))))
+    v = F.col("votes")
+    changed = F.coalesce(F.exists(v, lambda x: x >= F.lit(threshold)), F.lit(False))
+    safe = F.array_join(F.zip_with("parts", v, lambda x, y: F.when(y >= F.lit(threshold), F.lit(REDACTED)).otherwise(x)), "")
+    rows = rows.select("row", F.when(changed, safe).alias("new"))
+    out = []
+    for c in docs.columns:
+        own = F.col("row").getField(c)
+        new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}.get(c)
+        out.append((own if new is None else F.when(F.col("new").isNotNull(), new).otherwise(own)).alias(c))
+    return rows.select(*out)

@@ -140,5 +140,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     return docs.mapInArrow(_run(raw, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -121,6 +121,6 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Col
     names = tuple(categories)
     models = fit_chain(x, [y[c] for c in names]) if x.n else [np.r_[np.zeros(dims + k), -40.0] for k in range(len(names))]
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = T.texts(docs)
     out = docs.mapInArrow(_score(shared, names, dims), "doc_id long, " + ", ".join(f"p_{c} double" for c in names))
     return out.withColumn("toxic", F.col(f"p_{verdict}") >= F.lit(threshold))
