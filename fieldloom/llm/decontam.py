@@ -6,12 +6,15 @@ document word that equals such a prefix gives a candidate; its offset in the win
 have (positional bound), which must leave room for the window inside the document (length bound); all words of the
 window are then compared in order. Hits never cross documents.
 
-Items are taken in blocks of at most BLOCK_WORDS words. One block, a proven bound of some 100 MB in the worst case, is
-broadcast at a time; more blocks are further passes over documents, each adding to what the earlier ones found.
+Items are taken in blocks of at most BLOCK_WORDS words; a longer item is cut into parts that share all but one word of a
+window. One block, a proven bound of some 100 MB in the worst case, is on the driver and broadcast at a time (and the
+next one read); more blocks are further passes over documents, each adding to what the earlier ones found.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,7 @@ from fieldloom.llm import _text as T
 from fieldloom.operators.shared import checkpoint
 
 SIZE = 10
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_WORDS = 1_000_000
 _STEP = 1 << 20
 
@@ -31,13 +35,13 @@ def item_windows(items: list[tuple], size: int) -> dict:
     rows: dict[bytes, list] = {}
     for (name, _), h in zip(items, hashes):
         for i in range(max(1, len(h) - size + 1) if len(h) else 0):
-            rows.setdefault(h[i : i + size].tobytes(), []).append(str(name))
+            rows.setdefault(h[i : i + size].tobytes(), []).append(None if name is None else str(name))
     words = np.zeros((len(rows), size), np.uint64)
     length = np.zeros(len(rows), np.int64)
     for r, key in enumerate(rows):
         w = np.frombuffer(key, np.uint64)
         words[r, : len(w)], length[r] = w, len(w)
-    return {"words": words, "length": length, "items": [sorted(set(x)) for x in rows.values()]}
+    return {"words": words, "length": length, "items": [set(x) for x in rows.values()]}
 
 
 def with_prefixes(win: dict, vocabulary: np.ndarray, freq: np.ndarray) -> dict:
@@ -123,7 +127,7 @@ def _match(win, more: bool):
                     "doc_id": doc_id.cast(pa.int64()),
                     "n_words": pa.array(per),
                     "spans": pa.LargeListArray.from_arrays(pa.array(cut), pa.array(spans.astype(np.int64))).cast(pa.list_(pa.int64())),
-                    "items": pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                    "items": pa.array([sorted(x - {None}) + [None] * (None in x) for x in names], pa.list_(pa.string())),
                 }
                 if more:
                     out["text"] = T.take(b, i, j, "text")[0]
@@ -132,16 +136,29 @@ def _match(win, more: bool):
     return run
 
 
-def _item_blocks(items: DataFrame, limit: int):
+def pieces(text: str, size: int, limit: int):
+    """A text of more than `limit` words in parts of so many, which overlap so that every window is whole in one of them."""
+    if len(text) < 2 * limit:
+        yield text
+        return
+    at = [m.span() for m in re.finditer(WORD, text)]
+    for i in range(0, max(1, len(at) - size + 1), max(1, limit - size + 1)):
+        own = at[i : i + limit]
+        yield text[own[0][0] : own[-1][1]] if own else ""
+
+
+def _item_blocks(items: DataFrame, size: int, limit: int):
+    """Lists of (item_id, text or a part of it), each of about `limit` words at most; only one is held at a time."""
     block: list[tuple] = []
     n = 0
-    for name, text in items.select("item_id", F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        m = len(text or "") // 2 + 1
-        if block and n + m > limit:
-            yield block
-            block, n = [], 0
-        block.append((name, text))
-        n += m
+    for name, text in items.select("item_id", F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
+        for part in pieces(text or "", size, max(limit, 2 * size)):
+            m = len(part) // 2 + 1
+            if block and n + m > limit:
+                yield block
+                block, n = [], 0
+            block.append((name, part))
+            n += m
     if block:
         yield block
 
@@ -150,17 +167,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, bloc
     """doc_id, n_words, spans, items of each row of docs.
 
     spans lists the hit word ranges [start, end) flat, start after end; items the ids (as strings, sorted) of the items
-    with a window in the document. Null or empty texts have no words; items without id or words match nothing; repeated
-    rows and ids get equal results. An empty benchmark hits nothing. Other columns are ignored.
+    with a window in the document, at their end null if an item without an id is among them (all those are one item).
+    Null or empty texts have no words; items without words match nothing; repeated rows and ids get equal results;
+    words that are equally rare are taken in the order of their hashes; texts and items of any length are read whole. An
+    empty benchmark hits nothing. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     docs = T.texts(docs)
     state = docs.selectExpr("doc_id", "text", "cast(array() as array<long>) as spans", "cast(array() as array<string>) as items")
     schema = "doc_id long, n_words long, spans array<long>, items array<string>"
-    held = list(_two(_item_blocks(benchmark, block_words)))
-    todo = held or [([], False)]
     out = None
-    for block, more in todo:
+    for block, more in _two(_item_blocks(benchmark, size, block_words)):
         win = item_windows(block, size)
         w = win["words"]
         vocabulary = np.unique(w[np.arange(size)[None, :] < win["length"][:, None]])
@@ -172,9 +189,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, bloc
 
 
 def _two(blocks):
-    """Each block with whether another follows."""
+    """Each block with whether another follows; one empty block if there is none."""
     it = iter(blocks)
-    now = next(it, None)
+    now = next(it, [])
     while now is not None:
         after = next(it, None)
         yield now, after is not None

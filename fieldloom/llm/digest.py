@@ -137,7 +137,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents follow each other by falling doc_id, rows without an id last, ties by text; after the last comes the
     first. Rows are dealt once, by ranges of doc_id; only the first row of a range goes to two tasks. Null texts are
-    empty; a single document follows itself; repeated rows follow each other; other columns are ignored.
+    empty; a single document follows itself; repeated rows follow each other; texts of any length are read whole, and a
+    task holds two of them; rows without an id, or with one and the same, are sorted by one task (which spills). Other
+    columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as T
+from fieldloom.operators.shared import checkpoint
 
+#: Features of a sample that the driver holds, 12 bytes each.
+ENTRIES = 6_000_000
+#: A model uses the word bins whose shares among its positive and negative documents differ by so many standard errors.
+SIGNAL = 5.0
 
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -57,6 +62,19 @@ def shape_bins(data: np.ndarray, offs: np.ndarray, dims: int) -> tuple[np.ndarra
     return np.concatenate([d, r]), np.concatenate([at % dims, np.full(len(r), half)]), np.concatenate([value, np.sqrt(rep[r] / n_word[r])])
 
 
+def graded_bins(data: np.ndarray, offs: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bin, value): shape_bins in the first quarter, then the text's hashed words, each by 1 over the square root
+    of their number."""
+    low = dims // 4
+    d, b, v = shape_bins(data, offs, low)
+    wdoc, h = T.words(data, offs, "alnum")
+    high = dims - low
+    key = np.unique(wdoc * high + (T.mix(h) % np.uint64(high)).astype(np.int64))
+    own = key // high
+    n = np.bincount(own, minlength=len(offs) - 1)
+    return np.concatenate([d, own]), np.concatenate([b, low + key % high]), np.concatenate([v, 1 / np.sqrt(n[own])])
+
+
 def _kinds() -> np.ndarray:
     k = np.arange(256) % 128
     k[128:] = 1  # characters beyond ASCII
@@ -86,30 +104,43 @@ def _examples(maker, dims: int, columns: tuple[str, ...]):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, dims: int, rows: int):
-    """At most `rows` labelled documents as (CSR arrays, {target: values}), in order of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, dims: int, rows: int, entries: int = ENTRIES):
+    """At most `rows` labelled documents with `entries` features together as (CSR arrays, {target: values}).
 
-    The sample is the labelled documents with the smallest hash of doc_id, so it is spread over the input and does not
-    depend on its order; a document takes at most dims entries. targets: name to a Column over labels (and text, which
-    only the sampled rows are read for).
+    Labels meet the documents first: of all documents with a label whose targets are all known, those with the smallest
+    hash of doc_id are taken, in that order, so the sample is spread over the input and does not depend on its order or
+    on labels of other documents. Of several labels of one doc_id the one with the largest targets counts, of several
+    texts the last in byte order; null texts are empty. targets: name to a Column over labels. No other column of either
+    table is read.
     """
-    picked = labels.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("_h", F.xxhash64("doc_id", F.lit(7))).orderBy("_h", "doc_id").limit(rows).drop("_h")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = own.join(F.broadcast(picked), "doc_id")  # `rows` rows at most
     names = tuple(targets)
-    joined = joined.select("doc_id", "text", *(c.cast("int").alias(n) for n, c in targets.items())).dropna()
-    got = joined.mapInArrow(_examples(maker, dims, ("doc_id", *names)), "doc_id long, " + "".join(f"{n} int, " for n in names) + "bins binary, vals binary")
-    got = sorted(got.collect(), key=lambda r: (r.doc_id, r.bins))
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(c.cast("int").alias(n) for n, c in targets.items())).alias("y"))
+    given = given.where(F.col("doc_id").isNotNull() & F.forall(F.array(*(F.col("y").getField(n) for n in names)), lambda x: x.isNotNull()))
+    given = given.groupBy("doc_id").agg(F.max("y").alias("y"))
+    own = T.texts(docs)
+    picked = given.join(own.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h", "doc_id").limit(rows)
+    picked = checkpoint(picked)
+    own = own.join(F.broadcast(picked), "doc_id")  # `rows` rows at most
+    own = own.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"), F.first("h").alias("h"))
+    own = own.select("doc_id", "h", "text", *(F.col("y").getField(n).alias(f"y{i}") for i, n in enumerate(names)))
+    kept = ("doc_id", "h", *(f"y{i}" for i in range(len(names))))
+    made = own.mapInArrow(_examples(maker, dims, kept), "doc_id long, h long, " + "".join(f"y{i} int, " for i in range(len(names))) + "bins binary, vals binary")
+    got, total = [], 0
+    for r in made.orderBy("h", "doc_id").toLocalIterator():
+        total += len(r.bins) // 4
+        if got and total > entries:
+            break
+        got.append(r)
     bins = [np.frombuffer(r.bins, np.int32) for r in got]
     n = np.array([len(x) for x in bins], np.int64)
     x = Csr(
-        np.repeat(np.arange(len(got)), n),
+        np.repeat(np.arange(len(got), dtype=np.int32), n),
         np.concatenate(bins) if got else np.zeros(0, np.int32),
-        np.concatenate([np.frombuffer(r.vals, np.float32) for r in got]).astype(np.float64) if got else np.zeros(0),
+        np.concatenate([np.frombuffer(r.vals, np.float32) for r in got]) if got else np.zeros(0, np.float32),
         len(got),
         dims,
     )
-    return x, {t: np.array([r[t] for r in got], np.float64) for t in names}
+    return x, {t: np.array([r[f"y{i}"] for r in got], np.float64) for i, t in enumerate(names)}
 
 
 class Csr:
@@ -129,6 +160,20 @@ class Csr:
         m = keep[self.row]
         return Csr(new[self.row[m]], self.col[m], self.val[m], int(keep.sum()), self.dims)
 
+    def columns(self, keep):
+        """The same matrix with 0 in all other columns."""
+        m = keep[self.col]
+        return Csr(self.row[m], self.col[m], self.val[m], self.n, self.dims)
+
+
+def signal(x: Csr, y: np.ndarray) -> np.ndarray:
+    """By how many standard errors a bin's shares among positive and negative documents differ."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    a = np.bincount(x.col, y[x.row], minlength=x.dims)
+    b = np.bincount(x.col, 1 - y[x.row], minlength=x.dims)
+    p = (a + b + 1) / (len(y) + 2)
+    return np.abs(a / max(1, n1) - b / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
+
 
 def adam(loss, start: np.ndarray, steps: int = 300, rate: float = 0.05) -> np.ndarray:
     """Full-batch descent; loss returns the gradient."""

@@ -24,8 +24,16 @@ THRESHOLD = Fraction(4, 5)
 #: The phrases of the contract.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Opening words of common notices, and their labels.
+#: Opening words and whole texts of common notices, and their labels.
 TEMPLATES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-text",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-text",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache-text",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program": "gpl-text",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib-text",
+    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0-text",
+    "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost-text",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0-notice",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-notice",
     "licensed under the apache license version 2 0": "apache-2.0-notice",
@@ -46,6 +54,9 @@ TELLING = {
     "mit-notice": "mit",
     "cc-by-nc-4.0-notice": "cc by nc 4",
     "mpl-2.0-notice": "mozilla 2",
+    "gpl-text": "gnu general",
+    "cc-by-4.0-text": "creative commons 4",
+    "boost-text": "boost",
 }
 
 
@@ -130,7 +141,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs.
 
     score is the largest share of a template's words in one block, of those that reach the threshold, else 0. Null or
-    empty texts have no words, empty labels and score 0; repeated rows get equal results; other columns are ignored.
+    empty texts have no words, empty labels and score 0; repeated rows get equal results; template words that are
+    equally frequent go by their hashes; texts of any length are read whole; other columns, whatever their names, are
+    ignored.
     """
     templates = TEMPLATES if templates is None else templates
     docs = T.texts(docs)

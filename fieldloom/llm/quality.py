@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-P(grade > j) = sigmoid(w.x - theta_j) with one weight vector over hashed features of the whole text and rising
-thresholds theta. The model gives the expected grade and the tail probability P(grade > j) by which documents are kept.
+P(grade > j) = sigmoid(w.x - theta_j) with one weight vector over hashed features of the whole text (its words, and the
+kinds of every three bytes) and rising thresholds theta. The model gives the expected grade and the tail probability P(grade > j) by which documents are kept.
 It is fitted by full-batch descent on a bounded sample of rated documents (SAMPLE) and broadcast: DIMS weights and one
 threshold for each grade but one.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as T
-from fieldloom.llm.features import Csr, adam, labelled_sample, shape_bins, sigmoid
+from fieldloom.llm.features import SIGNAL, Csr, adam, graded_bins, labelled_sample, sigmoid, signal
 
-DIMS = 1 << 12
+DIMS = 1 << 14
 SAMPLE = 6_000
 L2 = 1e-5
 KEEP = 0.5
@@ -28,7 +28,12 @@ def fit_ordinal(x: Csr, grade: np.ndarray, n_grades: int, l2: float = L2) -> tup
     base = np.array([(grade > j).mean() for j in range(cuts)]).clip(1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(base / (1 - base)) + 1e-3 * np.arange(cuts))
     start = np.r_[np.zeros(x.dims), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))]
-    g = grade.astype(int)
+    p = adam(ordinal_gradient(x, grade.astype(int), cuts, l2), start)
+    return p[: x.dims], p[x.dims] + np.r_[0, np.cumsum(np.exp(p[x.dims + 1 :]))]
+
+
+def ordinal_gradient(x: Csr, g: np.ndarray, cuts: int, l2: float):
+    """Gradient of the mean negative log-likelihood over (weights, first threshold, logarithms of the further steps)."""
 
     def gradient(p):
         w, first, steps = p[: x.dims], p[x.dims], np.exp(p[x.dims + 1 :])
@@ -44,8 +49,7 @@ def fit_ordinal(x: Csr, grade: np.ndarray, n_grades: int, l2: float = L2) -> tup
         dsteps = np.array([dt[j + 1 :].sum() for j in range(cuts - 1)]) * steps
         return np.r_[x.back((dhi - dlo) / prob) / n + 2 * l2 * w, dt.sum() / n, dsteps / n]
 
-    p = adam(gradient, start)
-    return p[: x.dims], p[x.dims] + np.r_[0, np.cumsum(np.exp(p[x.dims + 1 :]))]
+    return gradient
 
 
 def _score(model, dims: int):
@@ -53,7 +57,7 @@ def _score(model, dims: int):
         w, theta = model.value
         for b in batches:
             for i, j, data, offs in T.blocks(b):
-                doc, bins, value = shape_bins(data, offs, dims)
+                doc, bins, value = graded_bins(data, offs, dims)
                 z = np.bincount(doc, value * w[bins], minlength=j - i) if len(doc) else np.zeros(j - i)
                 tail = sigmoid(z[:, None] - theta[None, :])
                 (doc_id,) = T.take(b, i, j, "doc_id")
@@ -67,11 +71,15 @@ def rate_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: in
 
     grade is a Column over labels, 0 to n_grades - 1; unrated rows are left out of the sample. Without any rating the
     weights are 0 and all documents are kept. Null or empty texts have no features and get the thresholds' own
-    probabilities; repeated rows get equal scores; other columns are ignored.
+    probabilities; repeated rows get equal scores, so ties at the threshold are all kept; texts of any length are read
+    whole; rows without an id are rated too; other columns, whatever their names, are ignored.
     """
-    x, y = labelled_sample(docs, labels, {"grade": grade}, shape_bins, dims, sample)
+    x, y = labelled_sample(docs, labels, {"grade": grade}, graded_bins, dims, sample)
     if x.n:
-        model = fit_ordinal(x, y["grade"].clip(0, n_grades - 1), n_grades)
+        grades = y["grade"].clip(0, n_grades - 1)
+        told = np.max([signal(x, (grades > j).astype(float)) for j in range(n_grades - 1)], axis=0) >= SIGNAL
+        told[: dims // 4] = True  # kinds of bytes are few, words are many
+        model = fit_ordinal(x.columns(told), grades, n_grades)
     else:
         model = np.zeros(dims), np.full(n_grades - 1, -5.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)

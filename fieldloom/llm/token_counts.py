@@ -88,10 +88,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Refuse vocabulary files that count in another way than this module does."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        wrong.append("model, normalizer or pre_tokenizer")
+    wrong += [f"added token {x['content']!r}" for x in spec.get("added_tokens", []) if any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(wrong)}")
+
+
 @lru_cache(maxsize=2)
 def compiled(raw: str):
     """(pieces, splitter of special strings or None) of a vocabulary file's text."""
     spec = json.loads(raw)
+    check(spec)
     ids = {x: i for i, x in enumerate(byte_letters())}
     pairs = {}
     for rank, m in enumerate(spec["model"]["merges"]):
@@ -135,7 +147,8 @@ def _run(raw, limit: int):
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs, as the byte-level vocabulary file counts them.
 
-    Null or empty texts have no bytes and tokens; repeated rows get equal counts; other columns are ignored. The file
+    Null or empty texts have no bytes and tokens; repeated rows get equal counts; of pairs with one rank the leftmost
+    is merged; texts of any length are counted whole; other columns, whatever their names, are ignored. The file
     is read on the driver and broadcast: its size is that of the vocabulary, whatever the input.
     """
     with open(vocabulary_path, encoding="utf-8") as f:

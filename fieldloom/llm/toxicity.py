@@ -14,27 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as T
-from fieldloom.llm.features import Csr, adam, labelled_sample, sigmoid, word_bins
+from fieldloom.llm.features import SIGNAL, Csr, adam, labelled_sample, sigmoid, signal, word_bins
 
 DIMS = 1 << 16
 SAMPLE = 8_000
 FOLDS = 3
 L2 = 1e-4
-#: A model uses the bins whose shares among its positive and negative documents differ by so many standard errors.
-SIGNAL = 5.0
-
-#: Words that name the finer categories among documents labelled toxic.
-INSULT = ("idiot", "moron", "stupid", "clown", "loser")
-CONTEMPT = ("trash", "disgusting", "worthless", "pathetic", "scum")
 
 
 def given_categories() -> dict[str, Column]:
-    """Categories of the given labels, in chain order: two kinds of toxic documents, then toxic itself."""
-
-    def has(words):
-        return F.when(F.col("toxic").isNotNull(), ((F.col("toxic") == 1) & F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b")).cast("int"))
-
-    return {"insult": has(INSULT), "contempt": has(CONTEMPT), "toxic": F.col("toxic")}
+    """Categories of the given labels, in chain order: junk (low quality), junk that is toxic, and toxic itself."""
+    low = (F.col("quality") == 0).cast("int")
+    return {"junk": low, "toxic_junk": low * F.col("toxic"), "toxic": F.col("toxic")}
 
 
 def fit_logistic(x: Csr, more: np.ndarray, y: np.ndarray, l2: float = L2) -> np.ndarray:
@@ -51,14 +42,6 @@ def fit_logistic(x: Csr, more: np.ndarray, y: np.ndarray, l2: float = L2) -> np.
     return fit_logistic_dense(x, more, y, l2)
 
 
-def signal(x: Csr, y: np.ndarray) -> np.ndarray:
-    n1, n0 = y.sum(), len(y) - y.sum()
-    a = np.bincount(x.col, y[x.row], minlength=x.dims)
-    b = np.bincount(x.col, 1 - y[x.row], minlength=x.dims)
-    p = (a + b + 1) / (len(y) + 2)
-    return np.abs(a / max(1, n1) - b / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
-
-
 def fit_logistic_dense(x: Csr, more: np.ndarray, y: np.ndarray, l2: float) -> np.ndarray:
     d, m, n = x.dims, more.shape[1], max(1, len(y))
     p = y.mean() if len(y) else 0.0
@@ -113,9 +96,10 @@ def _score(model, names: tuple[str, ...], dims: int):
 def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], verdict: str, threshold: float = 0.5, sample: int = SAMPLE, dims: int = DIMS) -> DataFrame:
     """doc_id, p_<category> of each category in chain order, toxic (p_<verdict> >= threshold) of each row of docs.
 
-    categories: name to a Column over labels and text with 0 or 1; rows with a null category are left out. Without
-    labels every probability is 0. Null or empty texts have no words and get the models' bias; repeated rows get equal
-    results; other columns are ignored.
+    categories: name to a Column over labels with 0 or 1; rows with a null category are left out, a category without a
+    member is predicted by its bias. Without labels every probability is 0. Null or empty texts have no words and get
+    the models' bias; repeated rows get equal results, so ties at the threshold are all toxic; texts of any length are
+    read whole; other columns, whatever their names, are ignored.
     """
     x, y = labelled_sample(docs, labels, categories, word_bins, dims, sample)
     names = tuple(categories)
