@@ -104,6 +104,11 @@ def segment_geometry(x1: Column, y1: Column, x2: Column, y2: Column) -> dict[str
     return {"length": F.sqrt(dx * dx + dy * dy), "angle": F.when(dy == 0, F.lit(math.pi / 2)).otherwise(F.atan(dx / dy)), "cx": (x1 + x2) / 2, "cy": (y1 + y2) / 2}
 
 
+def reflected(angle: Column, about: Column) -> Column:
+    """The angle of a line mirrored at one of angle `about`."""
+    return 2 * about - angle
+
+
 #: Constant, then weight and scale of each cue (contour ic, brightness bp, texture tp, colour cp).
 AFFINITY = {
     "C_P_SS": (2.0404, {"bp": (-0.4301, 0.1989), "tp": (-1.0353, 0.1639), "cp": (-0.5053, 0.3554)}),
@@ -121,6 +126,7 @@ def affinity(kind: str, cues: dict[str, Column]) -> Column:
     return F.when(p.isNull() | F.isnan(p), 0.0).otherwise(p)
 
 
+#: Those of the sigmoid below.
 def contrast_sigmoid(p: Column) -> Column:
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.2 * p))
     return (1 / (1 + F.exp(-(F.lit(-2.6433) + 10.7998 * c))) - 0.0667) / 0.9333

@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         joined = e.join(low, "u")
         e = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = checkpoint(sized(sized(e, rows).distinct(), rows))
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state

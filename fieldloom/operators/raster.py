@@ -82,10 +82,14 @@ def masks_components(mask: DataFrame, by: list[str], key, offsets=EIGHT) -> Data
 
 
 def distance_transform(px: DataFrame, value: str, p1: float, p2: float, p3: float, p4: float) -> DataFrame:
-    """min over (u, v) of value(v, u) + p1 (u - c - p2)^2 + p3 (v - r - p4)^2: along rows, then along columns."""
+    """dt, u, v: the least value(v, u) + p1 (u - c - p2)^2 + p3 (v - r - p4)^2 (to 9 digits) and the column u and row v
+    where it is (the smallest v, then u on ties): along rows, then along columns."""
     a = px.select("image_id", "r", F.col("c").alias("u"), F.col(value).alias("f"))
     row = px.select("image_id", "r", "c").join(a, ["image_id", "r"])
-    row = row.groupBy("image_id", "r", "c").agg(F.min(F.col("f") + p1 * (F.col("u") - F.col("c") - p2) ** 2).alias("f"))
-    b = row.select("image_id", "c", F.col("r").alias("v"), "f")
+    f = F.round(F.col("f") + p1 * (F.col("u") - F.col("c") - p2) ** 2, 9)
+    row = row.groupBy("image_id", "r", "c").agg(F.min(F.struct(f.alias("f"), "u")).alias("b")).select("image_id", "r", "c", "b.f", "b.u")
+    b = row.select("image_id", "c", F.col("r").alias("v"), "f", "u")
     out = px.select("image_id", "r", "c").join(b, ["image_id", "c"])
-    return out.groupBy("image_id", "r", "c").agg(F.min(F.col("f") + p3 * (F.col("v") - F.col("r") - p4) ** 2).alias("dt"))
+    f = F.round(F.col("f") + p3 * (F.col("v") - F.col("r") - p4) ** 2, 9)
+    out = out.groupBy("image_id", "r", "c").agg(F.min(F.struct(f.alias("dt"), "v", "u")).alias("b"))
+    return out.select("image_id", "r", "c", "b.dt", "b.u", "b.v")

@@ -2,32 +2,100 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators.components import connected_components
+from fieldloom.operators.shared import checkpoint
 
 
 def sizes(seg: DataFrame) -> DataFrame:
     return seg.groupBy("image_id", "segment_id").agg(F.count("*").alias("n"))
 
 
-def intersections(seg: DataFrame) -> DataFrame:
-    """|A & B| of the overlapping pairs a < b of an image; the diagonal counts 1, whatever the size."""
-    a, b = seg.withColumnRenamed("segment_id", "a"), seg.withColumnRenamed("segment_id", "b")
-    pairs = a.join(b, ["image_id", "pixel_id"]).where("a < b").groupBy("image_id", "a", "b").agg(F.count("*").alias("inter"))
-    one = seg.select("image_id", F.col("segment_id").alias("a"), F.col("segment_id").alias("b"), F.lit(1).cast("long").alias("inter")).distinct()
-    return pairs.union(one)
+def members(seg: DataFrame) -> DataFrame:
+    """One row a segment: image_id, segment_id, x (64-bit hashes of its elements, which are taken as exact)."""
+    h = seg.select("image_id", "segment_id", F.xxhash64("pixel_id").alias("h"))
+    return h.groupBy("image_id", "segment_id").agg(F.collect_set("h").alias("x"))
+
+
+def _products(x: pd.DataFrame) -> pd.DataFrame:
+    """|A & B| and sizes of the overlapping pairs of a cell: two blocks of segments, or one with itself."""
+    i, j = x["i"].iloc[0], x["j"].iloc[0]
+    ids, block = x["segment_id"].to_numpy(), x["block"].to_numpy()
+    n = np.array([len(v) for v in x["x"]])
+    row = np.repeat(np.arange(len(x)), n)
+    words, code = np.unique(np.concatenate(x["x"].to_list()), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    inter = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(code, np.arange(0, len(words) + WIDTH, WIDTH))
+    for k in range(len(cuts) - 1):  # WIDTH elements at a time, so a cell takes some 20 MB beside its rows
+        m = np.zeros((len(x), WIDTH), np.float32)
+        m[row[cuts[k] : cuts[k + 1]], code[cuts[k] : cuts[k + 1]] - k * WIDTH] = 1
+        inter += m[left] @ m[right].T
+    a, b = np.nonzero(inter)
+    both = inter[a, b].astype(np.int64)
+    a, b = left[a], right[b]
+    keep = ids[a] < ids[b] if i == j else np.ones(len(a), bool)
+    a, b, both = a[keep], b[keep], both[keep]
+    low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    return pd.DataFrame({"image_id": x["image_id"].iloc[0], "a": low, "b": high, "inter": both, "iou": both / (n[a] + n[b] - both)})
+
+
+#: Segments of a block (about: they are dealt by hash), and elements that a cell multiplies at a time.
+BLOCK, WIDTH = 256, 8_192
 
 
 def iou(seg: DataFrame) -> DataFrame:
-    """|A & B| / |A | B| of the overlapping pairs a < b of an image."""
-    n = sizes(seg)
-    pairs = intersections(seg).where("a < b")
-    pairs = pairs.join(n.select("image_id", F.col("segment_id").alias("a"), F.col("n").alias("na")), ["image_id", "a"])
-    pairs = pairs.join(n.select("image_id", F.col("segment_id").alias("b"), F.col("n").alias("nb")), ["image_id", "b"])
-    return pairs.select("image_id", "a", "b", "inter", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou"))
+    """|A & B| and |A & B| / |A | B| of the overlapping pairs a < b of an image: image_id, a, b, inter, iou.
+
+    The output has a row for each pair, so the work is dealt by pairs too: segments go to blocks of an image, every two
+    blocks make a cell, and a cell's counts are one product of 0/1 matrices. No element, however common, and no image,
+    however large, is joined or grouped as a whole.
+    """
+    m = members(seg)
+    many = m.groupBy("image_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    m = m.join(many, "image_id").withColumn("block", F.pmod(F.xxhash64("segment_id", F.lit(3)), F.col("blocks")))
+    cells = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("image_id", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "segment_id", "block", "x")
+    return cells.groupBy("image_id", "i", "j").applyInPandas(lambda x: _products(x), "image_id string, a long, b long, inter long, iou double")
+
+
+def intersections(seg: DataFrame) -> DataFrame:
+    """|A & B| of the overlapping pairs a < b of an image; the diagonal counts 1, whatever the size."""
+    one = seg.select("image_id", F.col("segment_id").alias("a"), F.col("segment_id").alias("b"), F.lit(1).cast("long").alias("inter")).distinct()
+    return iou(seg).select("image_id", "a", "b", "inter").union(one)
+
+
+def near_classes(seg: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(image_id, segment_id, class) and (image_id, a, b, iou): classes of equal segments of an image (named by their
+    smallest id), and the pairs of classes with an IoU of at least `least`.
+
+    Elements are ordered by rarity in their image; two segments that are alike enough share one of the first
+    n - ceil(least n) + 1, and their sizes differ little. Such pairs are candidates and then compared whole.
+    """
+    h = seg.select("image_id", "segment_id", F.xxhash64("pixel_id").alias("h"))
+    rare = h.groupBy("image_id", "h").agg(F.count("*").alias("f"))
+    x = h.join(rare, ["image_id", "h"]).groupBy("image_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("x"))
+    x = x.withColumn("x", F.transform("x", lambda e: e["h"])).withColumn("key", F.xxhash64("x"))
+    first = x.groupBy("image_id", "key").agg(F.min("segment_id").alias("class"))
+    x = checkpoint(x.join(first, ["image_id", "key"]).select("image_id", "segment_id", "class", "x"))
+    own = x.where("segment_id = class").select("image_id", "class", F.size("x").alias("n"), "x")
+    need = F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int")
+    post = own.select("image_id", "class", "n", F.explode(F.slice("x", F.lit(1), F.col("n") - need + 1)).alias("h"))
+    a, b = post.toDF("image_id", "a", "na", "h"), post.toDF("image_id", "b", "nb", "h")
+    ok = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-9)
+    pairs = a.join(b, ["image_id", "h"]).where(ok).select("image_id", "a", "b").distinct()
+    sets = own.select("image_id", "class", "x")
+    pairs = pairs.join(sets.toDF("image_id", "a", "xa"), ["image_id", "a"]).join(sets.toDF("image_id", "b", "xb"), ["image_id", "b"])
+    pairs = pairs.withColumn("inter", F.size(F.array_intersect("xa", "xb")))
+    pairs = pairs.select("image_id", "a", "b", (F.col("inter") / (F.size("xa") + F.size("xb") - F.col("inter"))).alias("iou"))
+    return x.drop("x"), pairs.where(F.col("iou") >= least)
 
 
 def cross_counts(gt: DataFrame, seg: DataFrame, key: list[str]) -> DataFrame:
@@ -94,14 +162,24 @@ def lowest_energy(members: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dissimilar(seg: DataFrame, segs: DataFrame, cutoff: float = 0.05) -> DataFrame:
-    """Near-duplicate removal: clusters of pairs with 1 - IoU < cutoff by single linkage; the lowest energy stays."""
-    near = iou(seg).where(1 - F.col("iou") < cutoff)
-    comp = connected_components(near, "a", "b").toDF("segment_id", "cluster")
+    """Near-duplicate removal: clusters of pairs with 1 - IoU < cutoff by single linkage; the lowest energy stays.
+
+    segment_id is unique over all images."""
+    classes, near = near_classes(seg, 1 - cutoff)
+    near = checkpoint(near.where(1 - F.col("iou") < cutoff))
+    comp = connected_components(near, "a", "b").toDF("class", "cluster")
+    comp = classes.join(comp, "class", "left").select("segment_id", F.coalesce("cluster", "class").alias("cluster"))
     out = segs.join(comp, "segment_id", "left").withColumn("cluster", F.coalesce("cluster", "segment_id"))
     return lowest_energy(out, ["image_id", "cluster"])
 
 
 def without_repeats(seg: DataFrame, segs: DataFrame, most: float = 0.98) -> DataFrame:
     """Drop segments that a later one of the image overlaps by more than `most`."""
-    gone = iou(seg).where(F.col("iou") > most).select("image_id", F.col("a").alias("segment_id")).distinct()
+    classes, near = near_classes(seg, most)
+    last = classes.groupBy("image_id", "class").agg(F.max("segment_id").alias("last"))
+    near = near.where(F.col("iou") > most)
+    both = near.select("image_id", F.col("a").alias("class"), F.col("b").alias("o")).union(near.select("image_id", "b", "a"))
+    other = both.join(last.toDF("image_id", "o", "last"), ["image_id", "o"]).select("image_id", "class", "last")
+    last = last.union(other).groupBy("image_id", "class").agg(F.max("last").alias("last"))
+    gone = classes.join(last, ["image_id", "class"]).where("segment_id < last").select("image_id", "segment_id")
     return segs.join(gone, ["image_id", "segment_id"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.vectors import blockwise, homogeneous_map, linear_score
 from fieldloom.operators import rank, sets
+from fieldloom.operators.shared import checkpoint
 from fieldloom.sources import bindings as B
 
 #: Bias, then weights of the mapped features.
@@ -15,7 +16,7 @@ WEIGHTS = [0.2, 0.05, 0.02, 0.01, 0.04, 0.02, 0.01]
 
 def ranked_documents(spark: SparkSession, sf_dir: str, least: int = 5, lam: float = 0.75) -> DataFrame:
     """image_id, segment_id, rank, value: word sets of documents, without small ones and near copies, by relevance and novelty."""
-    seg = B.seg_pixels(spark, sf_dir)
+    seg = checkpoint(B.seg_pixels(spark, sf_dir))  # used four times, and its texts are long
     kept = sets.min_size(seg, least)
     seg = seg.join(kept.select("image_id", "segment_id"), ["image_id", "segment_id"], "left_semi")
     pool = sets.dissimilar(seg, kept.join(B.segments(spark, sf_dir), ["image_id", "segment_id"]))

@@ -69,8 +69,7 @@ def i15(spark, d):
 
 @query("i10_at_most_k")
 def i10(spark, d):
-    seg = B.seg_pixels(spark, d)
-    return C.at_most_k(B.segments(spark, d), sets.iou(seg), 5)
+    return C.at_most_k(B.segments(spark, d), sets.iou(B.seg_pixels(spark, d)), 5)
 
 
 def events_joint(spark, d):
@@ -178,12 +177,12 @@ def x14(spark, d):
         q = df.select(F.explode("v").alias("x")).agg(F.percentile("x", [(i + 0.5) / k for i in range(k)]).alias("q"))
         return q.select(F.posexplode("q").alias("word", "x")).select("word", F.array("x").alias("c"))
 
-    back = C.kmeans(frame, seeds(frame, 8), 2)
+    back = C.kmeans(frame, seeds(frame, 20), 2)
     b = C.assign(v, back, "l1").withColumnRenamed("dist", "bg").select("vec_id", "v", "bg")
-    far = b.where("bg > 20").select("vec_id", "v")
+    far = b.where("bg > 100").select("vec_id", "v")
     if far.limit(20).count() < 20:
         far = b.orderBy(F.desc("bg"), "vec_id").limit(20).select("vec_id", "v")
-    fore = C.kmeans(far, seeds(far, 8), 2)
+    fore = C.kmeans(far, seeds(far, 20), 2)
     f = C.assign(v, fore, "l1").select("vec_id", F.col("dist").alias("fg"))
     like = lambda c: F.round(0.2 * 1000 * F.exp(-0.01 * F.col(c)), 4)
     return b.join(f, "vec_id").select("vec_id.image_id", "vec_id.r", "vec_id.c", like("fg").alias("fg"), like("bg").alias("bg"))

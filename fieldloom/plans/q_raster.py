@@ -219,7 +219,7 @@ def j25(spark, d):
     return near.select("image_id", "r0", "c0", "r", "c", F.round(F.abs(F.col("v0") - F.col("val")), 4).alias("diff"))
 
 
-@query("j26_distance_transform", B.RASTER, "select a.image_id, a.r, a.c, round(min(b.val + 1.5 * (b.c - a.c - 1) * (b.c - a.c - 1) + 0.5 * (b.r - a.r) * (b.r - a.r)), 4) as dt from ras a join ras b using (image_id) group by all")
+@query("j26_distance_transform", B.RASTER, "al as (select a.image_id, a.r, a.c, b.r as v, b.c as u, round(b.val + 1.5 * (b.c - a.c - 1) * (b.c - a.c - 1) + 0.5 * (b.r - a.r) * (b.r - a.r), 9) as f from ras a join ras b using (image_id))", "select image_id, r, c, round(min(f), 4) as dt, arg_min(u, (f, v, u)) as u, arg_min(v, (f, v, u)) as v from al group by all")
 def j26(spark, d):
     return R.distance_transform(B.raster(spark, d), "val", 1.5, 1.0, 0.5, 0.0).withColumn("dt", F.round("dt", 4))
 
@@ -337,14 +337,34 @@ def i7(spark, d):
     """Regions of under 4 pixels take the commonest label among their 8 neighbours outside (smallest on ties), in rounds."""
     from fieldloom.operators.shared import checkpoint
 
-    lab = i6(spark, d).select("image_id", "r", "c", F.col("component").alias("label"))
-    for _ in range(3):
+    return merge_dust(i6(spark, d).select("image_id", "r", "c", F.col("component").alias("label")), 4)
+
+
+def merge_dust(lab, least: int):
+    """lab (image_id, r, c, label) until every region has `least` pixels or no neighbour.
+
+    In a round each smaller region votes for its commonest neighbour; what votes connect becomes one region: the one of
+    them that is large enough, else the smallest label. So every round has fewer regions, and the loop ends."""
+    from fieldloom.operators.components import connected_components
+    from fieldloom.operators.shared import checkpoint
+
+    while True:
         lab = checkpoint(lab)
-        dust = lab.groupBy("image_id", "label").agg(F.count("*").alias("n")).where("n < 4").select("image_id", "label")
+        dust = lab.groupBy("image_id", "label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("image_id", "label")
         votes = R.shifted(lab.join(dust, ["image_id", "label"], "left_semi"), R.EIGHT).join(lab.select("image_id", "r", "c", F.col("label").alias("other")), ["image_id", "r", "c"]).where("other <> label")
         best = votes.groupBy("image_id", "label", "other").agg(F.count("*").alias("k")).groupBy("image_id", "label").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("to"))
-        lab = lab.join(best, ["image_id", "label"], "left").select("image_id", "r", "c", F.coalesce("to", "label").alias("label"))
-    return lab
+        best = checkpoint(best)
+        if best.isEmpty():
+            return lab
+        # labels of all images as single numbers
+        names = lab.select("image_id").distinct()
+        names = names.withColumn("base", F.row_number().over(W.orderBy("image_id")) * F.lit(1 << 40))  # one row an image
+        ends = best.join(names, "image_id").select("image_id", (F.col("base") + F.col("label")).alias("a"), (F.col("base") + F.col("to")).alias("b"))
+        comp = connected_components(ends, "a", "b").join(ends.select(F.col("a").alias("node"), F.lit(True).alias("dust")), "node", "left")
+        into = comp.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("dust").isNull(), F.col("node"))), F.min("node")).alias("into"))
+        new = comp.join(into, "component").select(F.col("node").alias("key"), "into")
+        lab = lab.join(names, "image_id").withColumn("key", F.col("base") + F.col("label")).join(new, "key", "left")
+        lab = lab.select("image_id", "r", "c", F.coalesce(F.col("into") - F.col("base"), F.col("label")).alias("label"))
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars as S
 from fieldloom.functions import vectors as V
+from fieldloom.operators import cluster as C
+from fieldloom.operators import search
 from fieldloom.operators.order import global_rank
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
@@ -119,15 +121,15 @@ def map_sql(src: str, n: int, step: float) -> str:
 
 
 @query(
-    "p8_kernel_mix", B.VLONG, "a as (select vec_id, i, abs(x) as x from vlong where i <= 8)", f"m as ({map_sql('a', 1, 0.4)})",
-    "select vec_id, i, round(abs(x), 6) as x from vlong where i > 8 and i <= 24 union all select vec_id, 100 + (i - 1) * 3 + j, round(y, 6) + 0.0 from m",
+    "p8_kernel_mix", B.VLONG, "a as (select vec_id, i, abs(x) as x from vlong where i <= 16)", f"m as ({map_sql('a', 1, 0.4)})",
+    "select vec_id, i, round(abs(x), 6) as x from vlong where i > 16 union all select vec_id, 100 + (i - 1) * 3 + j, round(y, 6) + 0.0 from m",
 )
 def p8(spark, d):
-    """Blocks of 8 and 16 elements: the first mapped, the second as it is; positions tell them apart."""
-    v = B.vectors(spark, d).select("vec_id", F.transform(F.slice("v", 1, 24), F.abs).alias("v"))
-    f = V.blockwise(F.col("v"), [8, 16], [lambda x: V.homogeneous_map(x, 1, 0.4, "chi2"), None])
+    """Blocks of 16 and 48 elements: the first mapped, the second as it is; positions tell them apart."""
+    v = B.vectors(spark, d).select("vec_id", F.transform("v", F.abs).alias("v"))
+    f = V.blockwise(F.col("v"), [16, 48], [lambda x: V.homogeneous_map(x, 1, 0.4, "chi2"), None])
     e = as_rows(v.select("vec_id", f.alias("f")), "f")
-    return e.select("vec_id", F.when(F.col("i") <= 24, F.col("i") + 99).otherwise(F.col("i") - 16).alias("i"), "x")
+    return e.select("vec_id", F.when(F.col("i") <= 48, F.col("i") + 99).otherwise(F.col("i") - 32).alias("i"), "x")
 
 
 @query("p9_kernel_map", B.VLONG, "a as (select vec_id, i, abs(x) as x from vlong)", f"m as ({map_sql('a', 2, 0.4)})", "select vec_id, (i - 1) * 5 + j + 1 as i, round(y, 6) + 0.0 as x from m")
@@ -208,7 +210,18 @@ PDIST_SQL = {"euclidean": "sqrt(sum((a - b) * (a - b)))", "sqeuclidean": "sum((a
 
 
 def _select(table: dict) -> str:
-    return "select vec_id, word, " + ", ".join(f"round({v}, 6) as {k}" for k, v in table.items()) + " from xy group by vec_id, word"
+    return "select vec_id, other, " + ", ".join(f"round({v}, 6) as {k}" for k, v in table.items()) + " from xx group by vec_id, other"
+
+
+#: Queries of the searches: every row whose id is divisible by 20, against all rows.
+ASKED = "vec_id % 20 = 0"
+XX = f"xx as (select q.vec_id, v.vec_id as other, v.i, abs(q.x) as a, abs(v.x) as b from vlong q join vlong v using (i) where q.{ASKED})"
+
+
+def _searched(spark, d, table, names):
+    v = B.vectors(spark, d).select("vec_id", F.transform("v", F.abs).alias("v"))
+    p = search.pairs(v.where(ASKED), v)
+    return p.select("vec_id", "other", *(r6(table[k](F.col("v"), F.col("c"))).alias(k) for k in names))
 
 
 def _pairs(spark, d, table, names):
@@ -216,19 +229,19 @@ def _pairs(spark, d, table, names):
     return p.select("vec_id", "word", *(r6(table[k](F.col("v"), F.col("c"))).alias(k) for k in names))
 
 
-@query("j7_all_distances", B.VLONG, B.CODE, XY, _select(METRIC_SQL))
+@query("j7_all_distances", B.VLONG, XX, _select(METRIC_SQL))
 def j7(spark, d):
-    return _pairs(spark, d, V.METRICS, METRIC_SQL)
+    return _searched(spark, d, V.METRICS, METRIC_SQL)
 
 
-@query("j8_all_kernels", B.VLONG, B.CODE, XY, _select(KERNEL_SQL))
+@query("j8_all_kernels", B.VLONG, XX, _select(KERNEL_SQL))
 def j8(spark, d):
-    return _pairs(spark, d, V.KERNELS, KERNEL_SQL)
+    return _searched(spark, d, V.KERNELS, KERNEL_SQL)
 
 
-@query("j9_pdist2", B.VLONG, B.CODE, XY, _select(PDIST_SQL))
+@query("j9_pdist2", B.VLONG, XX, _select(PDIST_SQL))
 def j9(spark, d):
-    return _pairs(spark, d, V.METRICS, PDIST_SQL)
+    return _searched(spark, d, V.METRICS, PDIST_SQL)
 
 
 @query(
@@ -254,9 +267,8 @@ def j11(spark, d):
 
 
 def quantized(vec: DataFrame, code: DataFrame, metric: str = "l2") -> DataFrame:
-    """The nearest centre of each vector (the smallest word on ties); the codebook is a small table."""
-    d = vec.join(F.broadcast(code)).withColumn("dist", F.round(V.METRICS[metric](F.col("v"), F.col("c")), 9))
-    return d.groupBy("vec_id").agg(F.min(F.struct("dist", "word")).alias("best")).select("vec_id", F.col("best.word").alias("word"), F.col("best.dist").alias("dist"))
+    """The nearest centre of each vector (the smallest word on ties)."""
+    return C.assign(vec, code, metric).select("vec_id", "word", "dist")
 
 
 SIGNED = "sxy as (select v.vec_id, k.word, v.i, v.x as a, k.m as b from vlong v join code k using (i))"
@@ -276,33 +288,33 @@ def j12_l1(spark, d):
     return quantized(B.vectors(spark, d), B.codebook(spark, d), "l1").withColumn("dist", r6("dist"))
 
 
-@query("j13_knn", *nearest_sql("sum((a - b) * (a - b))"), "select vec_id, word, k::bigint as rank, round(d, 6) as dist from near where k <= 3")
+KNN = (
+    B.VLONG, f"dist as (select q.vec_id, v.vec_id as other, sum((q.x - v.x) * (q.x - v.x)) as d from vlong q join vlong v using (i) where q.{ASKED} and q.vec_id <> v.vec_id group by all)",
+    "near as (select vec_id, other, d, row_number() over (partition by vec_id order by round(d, 9), other) as k from dist)",
+)
+
+
+@query("j13_knn", *KNN, "select vec_id, other, k::bigint as rank, round(d, 6) as dist from near where k <= 10")
 def j13(spark, d):
-    """The three nearest words of each vector, in order."""
-    p = with_codebook(spark, d, absolute=False).withColumn("dist", F.round(V.METRICS["l2"](F.col("v"), F.col("c")), 9))
-    best = p.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "word"))), 1, 3).alias("b"))
-    return best.select("vec_id", F.posexplode("b").alias("k", "s")).select("vec_id", "s.word", (F.col("k") + 1).cast("long").alias("rank"), r6("s.dist").alias("dist"))
+    """The ten nearest vectors of each query, in order."""
+    v = B.vectors(spark, d)
+    return search.exact(v.where(ASKED), v, 10).withColumn("dist", r6("dist"))
 
 
 @query("j14_approximate_knn")
 def j14(spark, d):
-    """Near pairs of vectors by random projections: candidates that share a bucket, then exact distances."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = B.vectors(spark, d).select("vec_id", array_to_vector("v").alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=4, seed=3).fit(v)
-    near = lsh.approxSimilarityJoin(v, v, 1.1, distCol="dist").where("datasetA.vec_id < datasetB.vec_id")
-    return near.select(F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), r6("dist").alias("dist"))
+    """The same by an index over all rows."""
+    v = B.vectors(spark, d)
+    return search.approximate(v.where(ASKED), v, 10).withColumn("dist", r6("dist"))
 
 
-@query("j17_ratio_match", *nearest_sql("sum((a - b) * (a - b))"), "two as (select a.vec_id, a.word, a.d, b.d as d2 from near a left join near b on a.vec_id = b.vec_id and b.k = 2 where a.k = 1)", "select vec_id, word, round(d, 6) as dist from two where d2 is null or 1.05 * d <= d2")
+@query("j17_ratio_match", *KNN, "two as (select a.vec_id, a.other, a.d, b.d as d2 from near a left join near b on a.vec_id = b.vec_id and b.k = 2 where a.k = 1)", "select vec_id, other, round(d, 6) as dist from two where d2 is null or 1.05 * round(d, 9) <= round(d2, 9)")
 def j17(spark, d):
-    """The nearest word where it is nearer than the second by the ratio (on squared distances)."""
-    p = with_codebook(spark, d, absolute=False).withColumn("dist", F.round(V.METRICS["l2"](F.col("v"), F.col("c")), 9))
-    best = p.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("dist", "word"))).alias("b"))
+    """The nearest vector of each query where it is nearer than the second by the ratio (on squared distances)."""
+    v = B.vectors(spark, d)
+    best = search.exact(v.where(ASKED), v, 2).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("rank", "other", F.round("dist", 9).alias("dist")))).alias("b"))  # two
     one, two = F.get("b", F.lit(0)), F.get("b", F.lit(1))
-    return best.where(two.isNull() | (1.05 * one["dist"] <= two["dist"])).select("vec_id", one["word"].alias("word"), r6(one["dist"]).alias("dist"))
+    return best.where(two.isNull() | (1.05 * one["dist"] <= two["dist"])).select("vec_id", one["other"].alias("other"), r6(one["dist"]).alias("dist"))
 
 
 @query("j20_label_push", "select event_id, case event_type when 'view' then 1 when 'click' then 1 when 'signup' then 2 when 'purchase' then 2 else -1 end as y from events")
@@ -339,7 +351,7 @@ def _rgb():
 def colour_sql() -> str:
     lin = ["pow(l_discount * 10, 2.2)", "pow(l_tax * 12, 2.2)", "pow(l_quantity / 50, 2.2)"]
     xyz = [" + ".join(f"{w!r}::double * {c}" for w, c in zip(row, lin)) for row in S.SPACES["CIE"]]
-    return f"col as (select l_orderkey, l_linenumber, {xyz[0]} as x, {xyz[1]} as y, {xyz[2]} as z from lineitem)"
+    return f"col as (select l_orderkey, l_linenumber, l_discount, l_tax, l_quantity, {xyz[0]} as x, {xyz[1]} as y, {xyz[2]} as z from lineitem)"
 
 
 def light_sql(e: str) -> str:
@@ -350,20 +362,23 @@ def light_sql(e: str) -> str:
     "x5_colour", colour_sql(),
     f"lab as (select *, {light_sql('x')} as fx, {light_sql('y')} as fy, {light_sql('z')} as fz, x + 15 * y + 3 * z as s from col)",
     """select l_orderkey, l_linenumber, round(x, 5) as x, round(y, 5) as y, round(z, 5) as z, round(116 * fy - 16, 5) as l, round(500 * (fx - fy), 5) + 0.0 as a, round(200 * (fy - fz), 5) + 0.0 as b,
-       round(case when s = 0 then 0 else 13 * (116 * fy - 16) * (4 * x / s - 4 / 19.0::double) end, 5) + 0.0 as u, round(case when s = 0 then 0 else 13 * (116 * fy - 16) * (9 * y / s - 9 / 19.0::double) end, 5) + 0.0 as v from lab""",
+       round(case when s = 0 then 0 else 13 * (116 * fy - 16) * (4 * x / s - 4 / 19.0::double) end, 5) + 0.0 as u, round(case when s = 0 then 0 else 13 * (116 * fy - 16) * (9 * y / s - 9 / 19.0::double) end, 5) + 0.0 as v,
+       round(l_discount * 10, 4) + 0.0 as red, round(l_tax * 12, 4) + 0.0 as green, round(l_quantity / 50, 4) + 0.0 as blue from lab""",
 )
 def x5(spark, d):
     c = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(e.alias(n) for e, n in zip(S.rgb_to_xyz(*_rgb()), "xyz")))
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     lab, luv = S.xyz_to_lab(x, y, z), S.xyz_to_luv(x, y, z)
     out = {"x": x, "y": y, "z": z, "l": lab[0], "a": lab[1], "b": lab[2], "u": luv[1], "v": luv[2]}
-    return c.select("l_orderkey", "l_linenumber", *((F.round(e, 5) + F.lit(0.0)).alias(k) for k, e in out.items()))
+    back = dict(zip(("red", "green", "blue"), S.xyz_to_rgb(x, y, z)))
+    return c.select("l_orderkey", "l_linenumber", *((F.round(e, 5) + F.lit(0.0)).alias(k) for k, e in out.items()), *((F.round(e, 4) + F.lit(0.0)).alias(k) for k, e in back.items()))
 
 
-@query("x6_x9_geometry", "select p_partkey, round(p_size + 0.3 * (p_retailprice - p_size)) as blend, ((p_size - 1) * 24 + p_partkey % 24)::bigint as id, round(radians(p_size), 6) as rad, round(sqrt(p_size * p_size + (p_partkey % 7) * (p_partkey % 7)), 6) as length, case when p_partkey % 7 = 0 then round(pi() / 2, 6) else round(atan(p_size / (p_partkey % 7)::double), 6) end as angle, p_size / 2 as cx from part")
+@query("x6_x9_geometry", "select p_partkey, round(p_size + 0.3 * (p_retailprice - p_size)) as blend, ((p_size - 1) * 24 + p_partkey % 24)::bigint as id, round(radians(p_size), 6) as rad, round(sqrt(p_size * p_size + (p_partkey % 7) * (p_partkey % 7)), 6) as length, case when p_partkey % 7 = 0 then round(pi() / 2, 6) else round(atan(p_size / (p_partkey % 7)::double), 6) end as angle, p_size / 2 as cx, round(pi() - radians(p_size), 6) as mirrored from part")
 def x6(spark, d):
     g = S.segment_geometry(F.lit(0.0), F.lit(0.0), F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double"))
     return B.table(spark, d, "part").select(
         "p_partkey", S.alpha_blend(F.col("p_retailprice"), F.col("p_size"), F.lit(0.3)).alias("blend"), S.to_id(F.col("p_partkey") % 24, F.col("p_size"), 24).cast("long").alias("id"),
         r6(F.radians("p_size")).alias("rad"), r6(g["length"]).alias("length"), r6(g["angle"]).alias("angle"), g["cx"].alias("cx"),
+        r6(S.reflected(F.radians("p_size"), F.lit(math.pi / 2))).alias("mirrored"),
     )

@@ -50,21 +50,25 @@ CODE = "code as (select label as word, i, round(avg(x), 6) as m from vlong group
 
 
 def raster(spark: SparkSession, d: str) -> DataFrame:
-    """image_id, r, c, val, n: events by type, hour and day; val the mean value, 0 where there are none (n = 0)."""
-    ev = table(spark, d, "events").where("event_type is not null")
+    """image_id, r, c, val, n: events by type, hour and day (from the first one on, COLS at least); val the mean value, 0
+    where there are none (n = 0)."""
+    ev = table(spark, d, "events").where("event_type is not null and ts is not null")
+    first = ev.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
+    start = F.lit(first["first"]).cast("date")
+    days = (first["last"] - first["first"]).days + 1 if first["first"] else 0
     grid = (
         ev.select(F.col("event_type").alias("image_id")).distinct()
         .select("image_id", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))).alias("r"))
-        .select("image_id", "r", F.explode(F.sequence(F.lit(1), F.lit(COLS))).alias("c"))
+        .select("image_id", "r", F.explode(F.sequence(F.lit(1), F.lit(max(COLS, days)))).alias("c"))
     )
-    v = ev.groupBy(F.col("event_type").alias("image_id"), F.hour("ts").alias("r"), F.dayofyear("ts").alias("c")).agg(F.round(F.avg("value"), 4).alias("val"), F.count("*").alias("n"))
+    v = ev.groupBy(F.col("event_type").alias("image_id"), F.hour("ts").alias("r"), (F.datediff(F.to_date("ts"), start) + 1).alias("c")).agg(F.round(F.avg("value"), 4).alias("val"), F.count("*").alias("n"))
     return grid.join(v, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 RASTER = f"""ras as (select g.image_id, g.r, g.c, coalesce(v.val, 0.0) as val, coalesce(v.n, 0)::bigint as n
-  from (select image_id, r::int as r, c::int as c from (select distinct event_type as image_id from events where event_type is not null),
-        (select unnest(range(0, {ROWS})) as r), (select unnest(range(1, {COLS + 1})) as c)) g
-  left join (select event_type as image_id, hour(ts)::int as r, dayofyear(ts)::int as c, round(avg(value), 4) as val, count(*) as n from events group by 1, 2, 3) v
+  from (select image_id, r::int as r, c::int as c from (select distinct event_type as image_id from events where event_type is not null and ts is not null),
+        (select unnest(range(0, {ROWS})) as r), (select unnest(range(1, greatest({COLS}, (select max(ts)::date - min(ts)::date + 1 from events where event_type is not null)) + 1)) as c)) g
+  left join (select event_type as image_id, hour(ts)::int as r, (ts::date - (select min(ts)::date from events where event_type is not null) + 1)::int as c, round(avg(value), 4) as val, count(*) as n from events where ts is not null group by 1, 2, 3) v
   using (image_id, r, c))"""
 
 

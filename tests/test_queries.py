@@ -228,3 +228,295 @@ def test_windowed_histogram_is_bounded(spark, tmp_path):
     want = ev.groupBy(F.date_trunc("day", "ts").alias("d"), "bin").count()
     got = spark.table("wh").groupBy(F.col("w.start").alias("d"), "bin").agg(F.max("h").alias("count"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+# rows without SQL, against brute force
+def frame(spark, name):
+    df = catalog.QUERIES[name](spark, SF).toPandas()
+    spark.catalog.clearCache()
+    return df
+
+
+def find(root, x):
+    while root[x] != x:
+        x = root[x]
+    return x
+
+
+def overlaps(spark):
+    """{image: {(a, b): iou}} and the segments of the word sets, counted one by one."""
+    own = {}
+    for r in B.seg_pixels(spark, SF).collect():
+        own.setdefault(r.image_id, {}).setdefault(r.segment_id, set()).add(r.pixel_id)
+    return own, {i: {(a, b): len(x & y) / len(x | y) for a, x in s.items() for b, y in s.items() if a < b and x & y} for i, s in own.items()}
+
+
+def test_overlaps_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sets, "BLOCK", 2)
+    own, want = overlaps(spark)
+    got = {}
+    for r in sets.iou(B.seg_pixels(spark, SF)).collect():
+        assert r.inter == len(own[r.image_id][r.a] & own[r.image_id][r.b])
+        got.setdefault(r.image_id, {})[r.a, r.b] = r.iou
+    assert got == {i: p for i, p in want.items() if p}
+    classes, near = sets.near_classes(B.seg_pixels(spark, SF), 0.3)
+    name = {(r.image_id, r.segment_id): r["class"] for r in classes.collect()}
+    assert name == {(i, a): min(b for b in s if s[b] == s[a]) for i, s in own.items() for a in s}
+    assert {(r.image_id, r.a, r.b): r.iou for r in near.collect()} == {(i, a, b): v for i, p in want.items() for (a, b), v in p.items() if v >= 0.3 and name[i, a] == a and name[i, b] == b}
+
+
+@pytest.mark.parametrize("top", [None, 4])
+def test_diversified_in_rounds(spark, monkeypatch, top):
+    rng = np.random.default_rng(14)
+    segs, pairs, want = [], [], {}
+    for image, n in (("a", 30), ("b", 12), ("c", 3)):
+        s, m = np.round(rng.uniform(size=n), 1), np.zeros((n, n))
+        for a in range(n):
+            for b in range(a + 1, n):
+                if rng.uniform() < 0.2:
+                    m[a, b] = m[b, a] = round(float(rng.uniform()), 1)
+                    pairs.append((image, a, b, float(m[a, b])))
+        segs += [(image, i, float(x)) for i, x in enumerate(s)]
+        want[image] = mmr_brute(s, m, 0.75)[:top]
+    monkeypatch.setattr(rank, "MAX_GROUP", 5)
+    got = rank.diversified(spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(pairs, "image_id string, a long, b long, iou double"), top=top).toPandas()
+    for image, w in want.items():
+        own = got[got.image_id == image].sort_values("rank")
+        assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w])
+
+
+def test_diversified_keep_n_query(spark):
+    own, near = overlaps(spark)
+    energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
+    got = frame(spark, "k4_diversified_keep_n")
+    for image, s in own.items():
+        ids = sorted(s)
+        m = np.zeros((len(ids), len(ids)))
+        for (a, b), v in near[image].items():
+            m[ids.index(a), ids.index(b)] = m[ids.index(b), ids.index(a)] = v
+        want = mmr_brute([-energy[i] / 10000 for i in ids], m, 0.75)[:3]
+        rows = got[got.image_id == image].sort_values("rank")
+        assert list(rows.segment_id) == [ids[i] for i, _ in want]
+
+
+def test_ranking_query(spark):
+    """i38: no image loses segments but small ones and near copies, and ranks go with falling values."""
+    own, near = overlaps(spark)
+    got = frame(spark, "i38_ranking")
+    for image, s in own.items():
+        rows = got[got.image_id == image].sort_values("rank")
+        assert list(rows["rank"]) == list(range(1, len(rows) + 1)) and (np.diff(rows.value) <= 1e-6).all()
+        big = {a for a in s if len(s[a]) >= 5}
+        root = {a: a for a in big}
+        for (a, b), v in near[image].items():
+            if a in big and b in big and 1 - v < 0.05:
+                x, y = find(root, a), find(root, b)
+                root[max(x, y)] = min(x, y)
+        assert len(rows) == len({find(root, a) for a in big}) and set(rows.segment_id) <= big
+
+
+def test_farthest_and_grid_queries(spark):
+    from fieldloom.plans.q_sets import regions
+
+    far, grid = frame(spark, "k6_farthest"), frame(spark, "k7_around_grid")
+    for image, x in regions(spark, SF).toPandas().groupby("image_id"):
+        x = x.sort_values(["n", "segment_id"], ascending=[False, True])
+        p, ids, n = x[["cr", "cc"]].to_numpy(), list(x.segment_id), list(x.n)
+        chosen = list(range(min(2, len(ids))))
+        while len(chosen) < min(6, len(ids)):
+            mean = {i: round(float(np.mean([np.hypot(*(p[i] - p[j])) for j in chosen])), 9) for i in range(len(ids)) if i not in chosen}
+            chosen.append(max(mean, key=lambda i: (mean[i], n[i], -ids[i])))
+        own = far[far.image_id == image].sort_values("rank")
+        assert set(own.segment_id[:2]) == {ids[i] for i in chosen[:2]} and list(own.segment_id) == [ids[i] for i in chosen]
+        taken, want = set(), []
+        for k, q in enumerate((10.0 * i, 10.0 * j) for i in range(5) for j in range(5)):
+            free = [i for i in range(len(ids)) if ids[i] not in taken]
+            if free:
+                i = min(free, key=lambda i: (round(float(((p[i] - q) ** 2).sum()), 9), ids[i]))
+                taken.add(ids[i])
+                want.append((k, ids[i]))
+        own = grid[grid.image_id == image].sort_values("point")
+        assert list(zip(own.point, own.segment_id)) == want
+
+
+def test_at_most_k_query(spark):
+    own, near = overlaps(spark)
+    energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
+    image_of = {r.segment_id: r.image_id for r in B.segments(spark, SF).collect()}
+    got = frame(spark, "i10_at_most_k")
+    for image in set(image_of.values()):
+        ids = sorted(a for a, i in image_of.items() if i == image)
+        root, left = {a: a for a in ids}, len(ids)
+        for (a, b), _ in sorted(near.get(image, {}).items(), key=lambda kv: (-kv[1], kv[0])):
+            x, y = find(root, a), find(root, b)
+            if left > 5 and x != y:
+                root[max(x, y)] = min(x, y)
+                left -= 1
+        heads = sorted({find(root, a) for a in ids})
+        clusters = {}
+        for a in ids:
+            clusters.setdefault(min(heads.index(find(root, a)), 4), []).append(a)
+        assert sorted(got[got.image_id == image].segment_id) == sorted(min(c, key=lambda a: (energy[a], a)) for c in clusters.values())
+
+
+def test_merge_dust(spark):
+    from fieldloom.plans.q_raster import merge_dust
+
+    text = ["aaaab", "aacab", "adaab", "aaaae", "fgfff", "fffff"]
+    rows = [("i", r, c, ord(ch)) for r, line in enumerate(text) for c, ch in enumerate(line, 1)] + [("j", 0, 1, 7), ("j", 0, 2, 8), ("k", 0, 1, 1)]
+    got = {(x.image_id, x.r, x.c): x.label for x in merge_dust(spark.createDataFrame(rows, "image_id string, r int, c int, label long"), 4).collect()}
+    want = ["aaaaa", "aaaaa", "aaaaa", "aaaaa", "fffff", "fffff"]
+    assert "".join(chr(got["i", r, c]) for r in range(6) for c in range(1, 6)) == "".join(want)
+    assert (got["j", 0, 1], got["j", 0, 2], got["k", 0, 1]) == (7, 7, 1)
+    lab = frame(spark, "i7_merge_dust")
+    assert lab.groupby(["image_id", "label"]).size().min() >= 4 and len(lab) == B.raster(spark, SF).count()
+
+
+def test_approximate_neighbours_recall(spark):
+    """At least nine of ten true neighbours, on the larger table, for every row as a query in turn."""
+    from fieldloom.operators import search
+
+    v = B.vectors(spark, "/root/testdata/sf0.01")
+    for q in (v.where("vec_id % 20 = 0"), v.where("vec_id % 20 = 7")):
+        want = {(r.vec_id, r.other) for r in search.exact(q, v, 10).collect()}
+        got = {(r.vec_id, r.other) for r in search.approximate(q, v, 10).collect()}
+        assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+    x = np.array([r.v for r in v.orderBy("vec_id").collect()])
+    d = ((x[:, None] - x[None, ::20]) ** 2).sum(2)
+    assert {(q, o) for q, o in want} and d.shape[0] == v.count()
+
+
+def test_exact_neighbours_in_blocks(spark, monkeypatch):
+    from fieldloom.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rng = np.random.default_rng(21)
+    x = np.r_[rng.normal(size=(40, 3)).round(1), np.zeros((4, 3))]
+    v = vec(spark, x)
+    got = {}
+    for r in search.exact(v.where("vec_id % 3 = 0"), v, 5).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.other, round(r.dist, 6))
+    for q in range(0, 44, 3):
+        d = sorted((round(float(((x[q] - x[i]) ** 2).sum()), 9), i) for i in range(44) if i != q)[:5]
+        assert got[q] == {k + 1: (i, round(a, 6)) for k, (a, i) in enumerate(d)}
+    assert {(r.vec_id, r.other) for r in search.pairs(v.limit(9), v).collect()} and search.pairs(v.where("vec_id < 9"), v).count() == 9 * 44
+
+
+def lloyd(x, centers, rounds):
+    c = dict(centers)
+    for _ in range(rounds):
+        word = [min(c, key=lambda w: (round(float(((v - c[w]) ** 2).sum()), 9), w)) for v in x]
+        c = {w: np.round(np.mean([v for v, k in zip(x, word) if k == w], 0), 6) if w in word else c[w] for w in c}
+    return c
+
+
+def test_integer_and_hierarchical_kmeans_queries(spark):
+    rows = sorted((r.vec_id, r.v) for r in B.vectors(spark, SF).collect())
+    ids, x = [i for i, _ in rows], np.floor(np.array([v for _, v in rows]) * 127 + 128 + 0.5)
+    start = dict(zip(ids[:8], x[:8]))
+    c = lloyd(x, lloyd(x[[i % 3 == 0 for i in ids]], start, 2), 2)
+    got = frame(spark, "i14_integer_kmeans").set_index("vec_id").dist
+    want = [min(((v - m) ** 2).sum() for m in c.values()) for v in x]
+    assert np.allclose(got.loc[ids], want, rtol=1e-6)
+    v = B.vectors(spark, SF)
+    paths, levels = cluster.hierarchical(v, 3, 2)
+    path = {r.vec_id: r.path for r in paths.collect()}
+    for depth, level in enumerate(levels):
+        centers = [(tuple(r.path), r.word, np.array(r.c)) for r in level.collect()]
+        for i, a in rows:
+            own = {w: round(float(((np.array(a) - m) ** 2).sum()), 9) for p, w, m in centers if p == tuple(path[i][:depth])}
+            assert path[i][depth] == min(own, key=lambda w: (own[w], w))
+
+
+def test_iterative_likelihood_query(spark):
+    got = frame(spark, "x14_iterative_likelihood")
+    ras = B.raster(spark, SF).toPandas()
+    one = lambda a, k: {i: np.array([q]) for i, q in enumerate(np.percentile(a, [100 * (i + 0.5) / k for i in range(k)]))}
+    edge = ras[ras.r.isin([0, 23]) | ras.c.isin([1, 30])].val.to_numpy()
+    back = lloyd(edge[:, None], one(edge, 20), 2)
+    bg = np.array([min(round(abs(v - m[0]), 9) for m in back.values()) for v in ras.val])
+    far = ras.assign(bg=bg)
+    seeds = far[far.bg > 100]
+    if len(seeds) < 20:
+        seeds = far.sort_values(["bg", "image_id", "r", "c"], ascending=[False, True, True, True]).head(20)
+    fore = lloyd(seeds.val.to_numpy()[:, None], one(seeds.val.to_numpy(), 20), 2)
+    fg = np.array([min(round(abs(v - m[0]), 9) for m in fore.values()) for v in ras.val])
+    both = far.assign(f=200 * np.exp(-0.01 * fg), b=200 * np.exp(-0.01 * bg)).merge(got, on=["image_id", "r", "c"])
+    assert len(both) == len(ras) == len(got)
+    assert np.allclose(both.f, both.fg, atol=1e-3) and np.allclose(both.b, both.bg_y, atol=1e-3)
+
+
+def test_cut_and_segmentation_queries(spark):
+    n = frame(spark, "i18_tree_cut")
+    assert len(n) == 5 and n.n.sum() == B.table(spark, SF, "events").count()
+    seg, flat = frame(spark, "i21_quick_segmentation"), frame(spark, "i20_flatten_forest")
+    flat = flat.assign(r=(flat.node - 1) % B.ROWS, c=(flat.node - 1) // B.ROWS + 1)
+    val = B.raster(spark, SF).toPandas()[["image_id", "r", "c", "val"]]
+    x = seg.merge(flat, on=["image_id", "r", "c"]).merge(val, on=["image_id", "r", "c"])
+    g = x.groupby(["image_id", "cluster"])
+    assert len(x) == len(seg) and np.allclose(x["mean"], g.val.transform("mean"), atol=2e-5) and (x.n == g.val.transform("size")).all()
+
+
+def test_lambda_sweep_query(spark):
+    from fieldloom.plans.q_graph import edges
+
+    e = edges(spark, SF).toPandas()
+    got = frame(spark, "i31_lambda_sweep")
+    for (image, t), rows in got.groupby(["graph_id", "t"]):
+        own = e[(e.graph_id == image) & (e.w >= t)]
+        root = {x: x for x in {*own.src, *own.dst}}
+        for a, b in zip(own.src, own.dst):
+            x, y = find(root, a), find(root, b)
+            root[max(x, y)] = min(x, y)
+        want = own.assign(region=[find(root, a) for a in own.src]).groupby("region").w.agg(["size", "mean"])
+        rows = rows.set_index("region").sort_index()
+        assert list(rows.index) == list(want.index) and list(rows.n_edges) == list(want["size"])
+        assert np.allclose(rows.mean_w, want["mean"], atol=2e-5)
+    assert got.groupby("t").n_edges.sum().is_monotonic_decreasing
+
+
+def test_spectral_grouping_query(spark):
+    got = frame(spark, "i32_spectral_grouping")
+    assert set(got.cluster) == {0, 1} and got.id.is_unique
+
+
+def test_curvature_query(spark):
+    got = frame(spark, "w14_curvature").set_index(["image_id", "r"]).curvature
+    for (image, r), p in B.raster(spark, SF).toPandas().groupby(["image_id", "r"]):
+        p, out = p.sort_values("c"), []
+        xs, ys = p.c.to_numpy(float), p.val.to_numpy() / 20
+        for i in range(len(p)):
+            x, y = xs[max(0, i - 3) : i + 4], ys[max(0, i - 3) : i + 4]
+            if len(x) < 5:
+                continue
+            u, v = x - x.mean(), y - y.mean()
+            z = u * u + v * v
+            xx, yy, xy, xz, yz, zz = (float((a * b).mean()) for a, b in ((u, u), (v, v), (u, v), (u, z), (v, z), (z, z)))
+            mz, cov = xx + yy, xx * yy - xy * xy
+            poly = np.array([4.0, 0.0, 4 * cov - 3 * mz * mz - zz, zz * mz + 4 * cov * mz - xz * xz - yz * yz - mz**3, xz * xz * yy + yz * yz * xx - zz * cov - 2 * xz * yz * xy + mz * mz * cov])
+            t = 0.0
+            for _ in range(60):
+                slope = np.polyval(np.polyder(poly), t)
+                t = t if abs(slope) < 1e-12 else t - np.polyval(poly, t) / slope
+            det = t * t - t * mz + cov
+            if abs(det) < 1e-12:
+                out.append(0.0)
+                continue
+            cx, cy = (xz * (yy - t) - yz * xy) / det / 2, (yz * (xx - t) - xz * xy) / det / 2
+            out.append(1 / np.sqrt(cx * cx + cy * cy + mz + 2 * t))
+        assert abs(np.mean(out) - got[image, r]) < 2e-4
+
+
+def test_kmeans_on_square_corners(spark):
+    """Four tight groups at the corners of a square: each centre ends in its own, whatever the order of the rows."""
+    rng = np.random.default_rng(3)
+    corners = np.array([[0, 0], [0, 9], [9, 0], [9, 9]], float)
+    x = np.concatenate([c + rng.normal(0, 0.1, (30, 2)) for c in corners])
+    v = vec(spark, x)
+    for metric in ("l2", "l1"):
+        c = cluster.kmeans(v.repartition(3), vec(spark, corners * 0.5 + 2, "c").withColumnRenamed("vec_id", "word"), 5, metric)
+        got = {r.word: r.c for r in c.collect()}
+        for k in range(4):
+            own = x[30 * k : 30 * k + 30]
+            want = own.mean(0) if metric == "l2" else np.sort(own, 0)[14]
+            assert np.allclose(got[k], want, atol=1e-6)
