@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files over all cores: its rows are dealt anew if it has fewer partitions than the cluster has cores.
+
+    For heavy work on whole texts; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let tasks read and hand to Python at most BATCH_ROWS rows of whole texts at a time.
 

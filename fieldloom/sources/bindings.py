@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.shared import table
+from fieldloom.operators.shared import spread, table
 
 ROWS, COLS = 24, 30
 
 
 def seg_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Segments are documents, pixels their distinct lower-case words, images lang/source."""
-    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("image_id"), F.col("doc_id").alias("segment_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("image_id"), F.col("doc_id").alias("segment_id"), "text"))
     words = docs.select("image_id", "segment_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("pixel_id"))
     return words.where("pixel_id <> ''").distinct()
 
