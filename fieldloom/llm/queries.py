@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import chat, decontam, digest, license_scan, mixing, quality, secret_scan, sketch_join, token_counts, toxicity
-from fieldloom.operators.shared import table
+from fieldloom.operators.shared import spread, table
 
 #: Weights of op1 and of the pipeline's last stage; names without one weigh 1.
 WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0}, "lang": {"en": 2.0}, "source": {"src0": 0.5}}
 SHARE = 0.5
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -20,22 +24,22 @@ def tokenizer_path() -> str:
 
 
 def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
+    docs = documents(spark, sf_dir, "lang", "source").select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
     docs = docs.withColumn("domain", mixing.domain(F.col("source")))
     return mixing.mix_sources(docs, WEIGHTS, share=SHARE).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.given_categories(), "toxic")
+    return toxicity.toxicity_chain(documents(spark, sf_dir), table(spark, sf_dir, "labels"), toxicity.given_categories(), "toxic")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = secret_scan.scan(documents(spark, sf_dir, "source"))
     return found.select("doc_id", "source", F.explode("found").alias("f")).select("doc_id", "source", "f.*")
 
 
 def op4_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.given_grade(), 3)
+    return quality.rate_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"), quality.given_grade(), 3)
 
 
 def op5_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,23 +50,23 @@ def op5_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
 def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return digest.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return sketch_join.near_duplicates(documents(spark, sf_dir))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.decontamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(documents(spark, sf_dir))
 
 
 QUERIES = {
