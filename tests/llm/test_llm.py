@@ -106,9 +106,10 @@ def test_jaccard_join_equals_brute_force(spark, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_jaccard_join_common_passage(spark, monkeypatch):
+@pytest.mark.parametrize("sampled", [1, 2])
+def test_jaccard_join_common_passage(spark, monkeypatch, sampled):
     """A passage that is most of 500 texts, in buckets that fill many cells and shares that take many parts."""
-    for name, value in (("CELL", 16), ("PART", 2_000), ("FLUSH", 1_000)):
+    for name, value in (("CELL", 16), ("PART", 2_000), ("FLUSH", 1_000), ("SAMPLED", sampled), ("SHOWN", 3)):
         monkeypatch.setattr(sketch_join, name, value)
     rng = np.random.default_rng(9)
     passage = [f"p{i}" for i in range(60)]
@@ -116,6 +117,7 @@ def test_jaccard_join_common_passage(spark, monkeypatch):
     for i in range(500):
         own = [f"o{rng.integers(10**6)}" for _ in range(int(rng.integers(2, 22)))]
         rows.append((i, " ".join(passage + own if i % 3 else own + passage)))
+    rows += [(10_000 + i, t) for i, t in near_rows(5)]
     rows += [(1000 + i, rows[7 * i][1] + " more") for i in range(60)] + [(2000 + i, rows[3][1]) for i in range(50)]
     got = sketch_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=8).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(rows)
