@@ -60,6 +60,18 @@ KERNELS = {
 }
 
 
+#: Feature groups of a segment table (n, energy), by name; each gives an array.
+FEATURES = {
+    "size": lambda: F.array(F.col("n") / 500),
+    "energy": lambda: F.array(-F.col("energy") / 5000),
+}
+
+
+def assembled(*names: str) -> Column:
+    """The named feature groups as one vector, in the order of the names."""
+    return F.concat(*(FEATURES[n]() for n in names))
+
+
 def linear_score(x: Column, w: list[float]) -> Column:
     """w[0] + w[1:] . x"""
     return KERNELS["kl2"](x, F.array(*(F.lit(float(v)) for v in w[1:]))) + F.lit(float(w[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.vectors import blockwise, homogeneous_map, linear_score
+from fieldloom.functions.vectors import assembled, blockwise, homogeneous_map, linear_score
 from fieldloom.operators import rank, sets
 from fieldloom.operators.shared import checkpoint
 from fieldloom.sources import bindings as B
@@ -21,7 +21,6 @@ def ranked_documents(spark: SparkSession, sf_dir: str, least: int = 5, lam: floa
     seg = seg.join(kept.select("image_id", "segment_id"), ["image_id", "segment_id"], "left_semi")
     pool = sets.dissimilar(seg, kept.join(B.segments(spark, sf_dir), ["image_id", "segment_id"]))
     seg = seg.join(pool.select("image_id", "segment_id"), ["image_id", "segment_id"], "left_semi")
-    feats = F.array(F.col("n") / 500, -F.col("energy") / 5000)
-    mapped = blockwise(feats, [1, 1], [lambda x: homogeneous_map(x, 1, 0.4, "chi2"), lambda x: homogeneous_map(x, 1, 0.4, "intersection")])
+    mapped = blockwise(assembled("size", "energy"), [1, 1], [lambda x: homogeneous_map(x, 1, 0.4, "chi2"), lambda x: homogeneous_map(x, 1, 0.4, "intersection")])
     scored = pool.select("image_id", "segment_id", linear_score(mapped, WEIGHTS).alias("score"))
     return rank.diversified(scored, sets.iou(seg), lam).withColumn("value", F.round("value", 6))

@@ -184,6 +184,16 @@ def test_run_audit(spark):
     assert got == [("label", 1, 1), ("range", 1, 5), ("twice", 1, 2), ("unassigned", 1, 3)]
 
 
+def test_shortest_paths(spark, tmp_path):
+    from fieldloom.sources.files import shortest_paths
+
+    for name in ("img1.jpg", "img1.mask.png", "img10.png", "b.png", "b.gif", "other.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    names = spark.createDataFrame([("img1",), ("b",), ("none",), ("img10",)], "name string")
+    got = {r.name: (r.path.split("/")[-1], r.extension) for r in shortest_paths(names, str(tmp_path)).collect()}
+    assert got == {"img1": ("img1.jpg", ".jpg"), "b": ("b.gif", ".gif"), "img10": ("img10.png", ".png")}
+
+
 def test_stage_computes_once(spark, tmp_path):
     seen = []
 
