@@ -184,14 +184,14 @@ def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS,
     b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(key, F.lit("b")), 512))), "[=\r\n]", "")
     b62, letters = F.regexp_replace(b64, "[+/]", ""), F.regexp_replace(b64, "[^A-Za-z]", "")
     numbers = F.translate(F.sha2(F.concat(key, F.lit("d")), 512), "abcdef", "135790")
-    cut = lambda c, k, at=1: F.substring(c, at, k)
+    cut = lambda c, k, at=1: F.substring(c, F.lit(at), k if isinstance(k, Column) else F.lit(k))
     at = draw("at", 1 << 30) % F.greatest(F.lit(1), F.size("w"))
     near = F.filter(F.slice("w", at + 1, 40), lambda x: x.rlike(r"^[^\s\"'`=:$%#&*|!]{2,14}$"))
     name = F.regexp_replace(F.lower(F.array_join(F.slice(near, 1, 3), "_")), "[^a-z_]", "x")
     prose = F.regexp_replace(F.base64(F.encode(F.concat(F.array_join(F.slice("w", at + 1, 12), " "), F.lit(" it is")), "utf-8")), "[=\r\n]", "")
     secret = {
         "hex": cut(hexes, 40), "hex32": cut(hexes, 32), "hexcaps": F.upper(cut(hexes, 40)), "base64": cut(b64, 40), "long": b64, "base62": cut(b62, 24), "short": cut(b62, 12), "letters": cut(letters, 20),
-        "password": F.concat(cut(letters, 6), pick("mark", ("-", "_", "+", ".")), cut(numbers, 4)),
+        "anyhex": cut(hexes, F.get(F.array(*map(F.lit, (16, 18, 20, 24, 28, 48, 64))), draw("length", 7))), "password": F.concat(cut(letters, 6), pick("mark", ("-", "_", "+", ".")), cut(numbers, 4)),
     }
     bare = {
         "cloud": F.concat(F.lit("AKIA"), F.upper(cut(b62, 16))), "host": F.concat(F.lit("ghp_"), cut(b62, 36)), "pay": F.concat(F.lit("sk_live_"), cut(b62, 24)),
