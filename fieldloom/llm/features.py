@@ -104,14 +104,15 @@ def _examples(maker, dims: int, columns: tuple[str, ...]):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, dims: int, rows: int, entries: int = ENTRIES):
+def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, dims: int, rows: int, entries: int = ENTRIES, told=None):
     """At most `rows` labelled documents with `entries` features together as (CSR arrays, {target: values}).
 
     Labels meet the documents first: of all documents with a label whose targets are all known, those with the smallest
     hash of doc_id are taken, in that order, so the sample is spread over the input and does not depend on its order or
     on labels of other documents. Of several labels of one doc_id the one with the largest targets counts, of several
     texts the last in byte order; null texts are empty. targets: name to a Column over labels. No other column of either
-    table is read.
+    table is read. told: gets {value: (documents, how many of them have each bin)} of the first target and says which
+    bins are kept; it is asked before any feature is held.
     """
     names = tuple(targets)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(c.cast("int").alias(n) for n, c in targets.items())).alias("y"))
@@ -125,22 +126,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, di
     own = own.select("doc_id", "h", "text", *(F.col("y").getField(n).alias(f"y{i}") for i, n in enumerate(names)))
     kept = ("doc_id", "h", *(f"y{i}" for i in range(len(names))))
     made = own.mapInArrow(_examples(maker, dims, kept), "doc_id long, h long, " + "".join(f"y{i} int, " for i in range(len(names))) + "bins binary, vals binary")
-    got, total = [], 0
-    for r in made.orderBy("h", "doc_id").toLocalIterator():
-        total += len(r.bins) // 4
-        if got and total > entries:
+    made = checkpoint(made.orderBy("h", "doc_id"))
+    keep = None
+    if told is not None:
+        counts: dict[int, list] = {}
+        for r in made.select("y0", "bins").toLocalIterator():
+            own = counts.setdefault(r.y0, [0, np.zeros(dims)])
+            own[0] += 1
+            own[1][np.frombuffer(r.bins, np.int32)] += 1
+        keep = told({v: tuple(c) for v, c in counts.items()}) if counts else np.ones(dims, bool)
+    bins, vals, y, total = [], [], [], 0
+    for r in made.toLocalIterator():
+        b, v = np.frombuffer(r.bins, np.int32), np.frombuffer(r.vals, np.float32)
+        if keep is not None:
+            b, v = b[keep[b]], v[keep[b]]
+        total += len(b)
+        if y and total > entries:
             break
-        got.append(r)
-    bins = [np.frombuffer(r.bins, np.int32) for r in got]
-    n = np.array([len(x) for x in bins], np.int64)
+        bins.append(b)
+        vals.append(v)
+        y.append([r[f"y{i}"] for i in range(len(names))])
+    n = np.array([len(b) for b in bins], np.int64)
     x = Csr(
-        np.repeat(np.arange(len(got), dtype=np.int32), n),
-        np.concatenate(bins) if got else np.zeros(0, np.int32),
-        np.concatenate([np.frombuffer(r.vals, np.float32) for r in got]) if got else np.zeros(0, np.float32),
-        len(got),
+        np.repeat(np.arange(len(y), dtype=np.int32), n),
+        np.concatenate(bins) if y else np.zeros(0, np.int32),
+        np.concatenate(vals) if y else np.zeros(0, np.float32),
+        len(y),
         dims,
     )
-    return x, {t: np.array([r[f"y{i}"] for r in got], np.float64) for i, t in enumerate(names)}
+    return x, {t: np.array([r[i] for r in y], np.float64) for i, t in enumerate(names)}
 
 
 class Csr:
@@ -168,10 +182,14 @@ class Csr:
 
 def signal(x: Csr, y: np.ndarray) -> np.ndarray:
     """By how many standard errors a bin's shares among positive and negative documents differ."""
-    n1, n0 = y.sum(), len(y) - y.sum()
     a = np.bincount(x.col, y[x.row], minlength=x.dims)
     b = np.bincount(x.col, 1 - y[x.row], minlength=x.dims)
-    p = (a + b + 1) / (len(y) + 2)
+    return signal_of(a, b, y.sum(), len(y) - y.sum())
+
+
+def signal_of(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """signal() from the counts of each bin among n1 positive and n0 negative documents."""
+    p = (a + b + 1) / (n1 + n0 + 2)
     return np.abs(a / max(1, n1) - b / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as T
-from fieldloom.llm.features import SIGNAL, Csr, adam, graded_bins, labelled_sample, sigmoid, signal
+from fieldloom.llm.features import SIGNAL, Csr, adam, graded_bins, labelled_sample, sigmoid, signal_of
 
 DIMS = 1 << 14
 SAMPLE = 6_000
@@ -74,12 +74,18 @@ def rate_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: in
     probabilities; repeated rows get equal scores, so ties at the threshold are all kept; texts of any length are read
     whole; rows without an id are rated too; other columns, whatever their names, are ignored.
     """
-    x, y = labelled_sample(docs, labels, {"grade": grade}, graded_bins, dims, sample)
+
+    def told(counts):
+        part = lambda ok: (sum((c[1] for g, c in counts.items() if ok(g)), np.zeros(dims)), sum(c[0] for g, c in counts.items() if ok(g)))
+        most = np.zeros(dims)
+        for j in range(n_grades - 1):
+            (a, n1), (b, n0) = part(lambda g: g > j), part(lambda g: g <= j)
+            most = np.maximum(most, signal_of(a, b, n1, n0))
+        return (most >= SIGNAL) | (np.arange(dims) < dims // 4)  # kinds of bytes are few, words are many
+
+    x, y = labelled_sample(docs, labels, {"grade": grade}, graded_bins, dims, sample, told=told)
     if x.n:
-        grades = y["grade"].clip(0, n_grades - 1)
-        told = np.max([signal(x, (grades > j).astype(float)) for j in range(n_grades - 1)], axis=0) >= SIGNAL
-        told[: dims // 4] = True  # kinds of bytes are few, words are many
-        model = fit_ordinal(x.columns(told), grades, n_grades)
+        model = fit_ordinal(x, y["grade"].clip(0, n_grades - 1), n_grades)
     else:
         model = np.zeros(dims), np.full(n_grades - 1, -5.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
