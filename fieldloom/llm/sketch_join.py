@@ -297,11 +297,10 @@ def _near(na, nb):
     return (4 * na >= 3 * nb) & (4 * nb >= 3 * na)
 
 
-def _some(key, size, a, b):
-    """The pairs of the first round that a bucket tells: of larger sets, which share many pieces, those of every m-th
-    piece. What this leaves unlinked is met in the later rounds, as they go by components."""
-    ok = (key[b] >> _U(24)) % np.clip(size[b] // 48, 1, 8).astype(_U) == 0
-    return a[ok], b[ok]
+def _early(key, size):
+    """Rows whose pairs a bucket tells in the first round: of larger sets, which share many pieces, those of every m-th
+    piece. What a small bucket keeps back here it tells in the second round; a large bucket's rows all meet there."""
+    return (key >> _U(24)) % np.clip(size // 48, 1, 8).astype(_U) == 0
 
 
 def _pairs(kind: int, ids, size, a, b) -> pa.RecordBatch:
@@ -359,11 +358,13 @@ def _buckets(hot: int, deal: int):
         rows = np.arange(len(key))
         small, large = rows[per <= hot], rows[per > hot]
         beside = large[:-1][key[large[:-1]] == key[large[1:]]]
-        yield _pairs(0, ids, size, *_some(key, size, np.r_[head, beside], np.r_[rows, beside + 1]))
+        early = _early(key, size)
+        a, b = np.r_[head, beside], np.r_[rows, beside + 1]
+        yield _pairs(0, ids, size, a[early[b]], b[early[b]])
         yield pa.record_batch({"kind": pa.array(np.full(len(large), 1, np.int32)), "a": T.signed(ids[large]), "b": T.signed(key[large]), "n": pa.array(size[large]), "rank": pa.array(rank[large].astype(np.int32))})
         rest = [(i, i + gap) for gap in range(1, min(hot, int(n.max()))) for i in [small[small + gap < len(key)]]]
         rest = [(i[key[i] == key[j]], j[key[i] == key[j]]) for i, j in rest]
-        rest = [(i[i != head[i]], j[i != head[i]]) for i, j in rest]
+        rest = [(i[new], j[new]) for i, j in rest for new in [(i != head[i]) | ~early[j]]]
         if rest:
             yield _pairs(2, ids, size, *map(np.concatenate, zip(*rest)))
 
@@ -376,7 +377,9 @@ def _buckets(hot: int, deal: int):
         head = np.repeat(first, np.diff(np.r_[first, len(key)]))
         beside = np.flatnonzero(key[:-1] == key[1:])
         rows = np.arange(len(key))
-        yield _pairs(0, ids, size, *_some(key, size, np.r_[head, beside], np.r_[rows, beside + 1]))
+        early = _early(key, size)
+        a, b = np.r_[head, beside], np.r_[rows, beside + 1]
+        yield _pairs(0, ids, size, a[early[b]], b[early[b]])
         for kind, own in ((1, rows), (3, first)):
             yield pa.record_batch({"kind": pa.array(np.full(len(own), kind, np.int32)), "a": T.signed(ids[own]), "b": T.signed(key[own]), "n": pa.array(size[own]), "rank": pa.array(rank[own].astype(np.int32))})
 

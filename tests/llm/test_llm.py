@@ -123,6 +123,24 @@ def test_jaccard_join_common_passage(spark, monkeypatch, sampled):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(rows)
 
 
+def pair_rows(own: int, shared: int, passage: int, families: int, seed: int):
+    """Texts of one common passage; two and two share a block behind it, then come words of their own."""
+    rng = np.random.default_rng(seed)
+    common = [f"p{seed}_{i}" for i in range(passage)]
+    word = lambda x, n: [f"{x}{rng.integers(10**9)}" for _ in range(n)]
+    return [" ".join(common + block + word("o", own)) for f in range(families) for block in [word("b", shared)] for _ in range(2)]
+
+
+@pytest.mark.parametrize("hot", [3, 24])
+def test_jaccard_join_long_texts_share_a_passage(spark, hot):
+    """Sets of 96 to 2,000 shingles that a passage links nearly, and a shared block links by a little."""
+    sizes = [(51, 9, 340), (48, 12, 340), (14, 3, 90), (260, 50, 1_700), (100, 60, 500), (12, 300, 0), (90, 110, 300)]
+    texts = [t for k, (own, shared, passage) in enumerate(sizes) for t in pair_rows(own, shared, passage, 60 if k < 2 else 20, k)]
+    rows = [(int(i), t) for i, t in zip(np.random.default_rng(hot).permutation(len(texts)), texts)]
+    got = sketch_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(rows)
+
+
 def test_jaccard_join_query(spark):
     rows = [(r.doc_id, r.text) for r in read(spark, "documents").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, SF).collect()}
