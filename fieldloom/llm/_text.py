@@ -53,6 +53,10 @@ def word_table(kind: str) -> np.ndarray:
         t[[0x20, *range(0x09, 0x0E)]] = 0
         nul = 1  # NUL is a word byte here: give it a value of its own
         t[0] = nul
+    elif kind == "exact":  # the same words, letters as they are
+        t = np.arange(256, dtype=np.uint8)
+        t[[0x20, *range(0x09, 0x0E)]] = 0
+        t[0] = 1
     elif kind == "alnum":  # words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text
         for a, b in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
             t[a : b + 1] = 0
@@ -61,11 +65,11 @@ def word_table(kind: str) -> np.ndarray:
     return t
 
 
-TABLES = {k: word_table(k) for k in ("space", "alnum")}
+TABLES = {k: word_table(k) for k in ("space", "alnum", "exact")}
 #: What a byte adds to a hash. In "space" words byte 0 and byte 1 must differ, so hashes use the byte itself.
 _VALUES = {}
 for _k, _t in TABLES.items():
-    _v = _BYTE[_lower()]
+    _v = _BYTE if _k == "exact" else _BYTE[_lower()]
     _VALUES[_k] = _v
 
 

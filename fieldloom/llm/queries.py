@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontam, digest, license_scan, mixing, quality, secret_scan, sketch_join, token_counts, toxicity
+from fieldloom.llm import automaton, chat, decontam, digest, license_scan, mixing, periodic, quality, secret_scan, sketch_join, spelling, token_counts, toxicity
 from fieldloom.operators.shared import spread, table
 
 #: Weights of op1 and of the pipeline's last stage; names without one weigh 1.
@@ -69,11 +69,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(documents(spark, sf_dir), slip=199))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.periodic_runs(periodic.planted(documents(spark, sf_dir))))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixture, op2_toxicity_chain, op3_secret_scan, op4_quality_grades, op5_chat_examples, op6_token_counts,
-        op7_quartile_digest, op8_jaccard_join, op9_decontamination, op10_license_scan,
+        op7_quartile_digest, op8_jaccard_join, op9_decontamination, op10_license_scan, op11_spelling_variants,
+        op12_periodic_runs, op13_bpe_round_trip,
     )
 }
 
