@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of key characters: 16 or more anywhere, 8 or more where something is assigned. Each is described by
+Candidates are what a word for secrets leads ("password is ...", to the closing quote or white space, 4 characters or
+more), passwords in addresses (3 or more), keys between their lines, and runs of key characters: 16 or more anywhere, 8
+or more where something is assigned. A name before its value is none, however long. Each is described by
 its length and alphabet, by its character transitions (mean log-likelihood of its letter pairs among the corpus's
 words), by dictionary coverage (its parts among the corpus's frequent words), by the path it was found under, and by the
 words next to it. A forest trained on labelled findings then votes. The fitted trees become one Column expression, so
@@ -34,9 +36,23 @@ REDACTED = "[REDACTED]"
 
 _KEY = r"[A-Za-z0-9_+/.-]"
 #: One or two closing "=" belong to a value, but not where another value, quoted or not, follows: that one is a name.
-_END = r"[A-Za-z0-9_+/-](?:={1,2}(?![A-Za-z0-9_+/=-]|[\"'`][A-Za-z0-9_+/-]))?"
-#: What precedes an assigned value, that value; or a long value.
-CANDIDATE = rf"([=:]\s{{0,3}}[\"'`]?)({_KEY}{{7,}}{_END})|(?<!{_KEY})({_KEY}{{15,}}{_END})"
+_END = r"[A-Za-z0-9_+/-](?:={1,2}(?![^\s\"'`,;)\]}]|[\"'`][A-Za-z0-9_+/-]))?"
+#: Words that name a secret, and what stands between a name and its value.
+KEYWORD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|bearer|auth|api[_-]?key|access[_-]?key|private[_-]?key)"
+_LED = rf"(?<={KEYWORD}[A-Za-z0-9_\"'`\]]{{0,24}}\s{{0,3}})(?:=>|:=|==?|:|\bis\b)\s{{0,3}}"
+#: Each alternative: what precedes a value (kept), the value. In order: a key between its lines, the password in an address,
+#: what a keyword leads (to the closing quote, or to white space), another assigned value; or a long value anywhere.
+_FORMS = (
+    (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*", r"[A-Za-z0-9+/=\s]*[A-Za-z0-9+/=](?=\s*-----END)"),
+    (r"://[^\s:/@\"'`]{0,64}:", r"[^\s:/@\"'`]{3,}(?=@)"),
+    (_LED + r"[\"'`]", r"[^\"'`\r\n]{4,}+(?=[\"'`])"),
+    (_LED + r"[\"'`]?", r"[^\s\"'`]{3,}[^\s\"'`,.;:!?()\[\]{}<>]"),
+    (r"[=:]\s{0,3}[\"'`]?", rf"{_KEY}{{7,}}{_END}"),
+)
+CANDIDATE = "|".join(f"({before})({value})" for before, value in _FORMS) + rf"|(?<!{_KEY})({_KEY}{{15,}}{_END})"
+_BEFORE, _VALUE = "".join(f"${2 * i + 1}" for i in range(len(_FORMS))), "".join(f"${2 * i + 2}" for i in range(len(_FORMS))) + f"${2 * len(_FORMS) + 1}"
+#: A name and what follows it: it is no candidate of its own, however long.
+_NAME, _NAMES = r"^[A-Za-z_.-]+[0-9]{0,3}$", r"^[\"'`\]]{0,2}\s{0,3}(?:=|:(?!//))"
 #: Characters before and after a candidate that count as next to it.
 NEAR, AFTER = 40, 12
 #: Marks a candidate's ends while a text is cut (a noncharacter); where a text holds it, its own digest is put between two.
@@ -45,7 +61,7 @@ _ALPHABET = "abcdefghijklmnopqrstuvwxyz0"
 
 FEATURES = (
     "n_chars", "transitions", "likelihood", "digits", "hex", "upper", "marks", "distinct", "dictionary",
-    "neighbours", "nearest", "assigned", "quoted", "in_path", "test_path",
+    "neighbours", "nearest", "assigned", "quoted", "in_path", "test_path", "led", "spaces",
 )
 
 
@@ -81,9 +97,12 @@ def word_statistics(docs: DataFrame, dictionary: int = DICTIONARY) -> Corpus:
 
 
 def neighbour_words(left: Column, right: Column) -> Column:
-    """The distinct words next to a candidate, those on its right marked."""
+    """The distinct whole words next to a candidate, those on its right marked."""
     own = lambda x: F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: F.length(w) > 1)
-    return F.array_distinct(F.concat(own(F.right(left, F.lit(NEAR))), F.transform(own(F.left(right, F.lit(AFTER))), lambda w: F.concat(F.lit(">"), w))))
+    # a character more than counts: letters that reach it may be part of a longer word
+    far = F.when(F.length(left) <= NEAR, left).otherwise(F.regexp_replace(F.right(left, F.lit(NEAR + 1)), "^[A-Za-z]+", ""))
+    near = F.when(F.length(right) <= AFTER, right).otherwise(F.regexp_replace(F.left(right, F.lit(AFTER + 1)), "[A-Za-z]+$", ""))
+    return F.array_distinct(F.concat(own(far), F.transform(own(near), lambda w: F.concat(F.lit(">"), w))))
 
 
 def _numbers(x: list) -> Column:
@@ -120,10 +139,12 @@ def _features(x: Column, left: Column, right: Column, path: Column, corpus: Corp
         F.aggregate(known, F.lit(0.0), lambda s, w: s + F.length(w)) / n,
         F.aggregate(words, F.lit(0.0), lambda s, w: s + says(w)),
         says(F.get(before, F.size(before) - 1)),
-        flag(near.rlike(r"[=:]\s*[\"'`]?$")),
+        flag(near.rlike(r"(?:[=:>]|\bis)\s*[\"'`]?$")),
         flag(F.substring(right, 1, 1).rlike("[\"'`]")),
         flag(near.rlike("[/@]$") | x.rlike("/[A-Za-z0-9_.-]*/")),
         flag(F.lower(path).rlike("(test|example|sample|fixture|mock)")),
+        flag(near.rlike(_LED + r"[\"'`]?$") | near.rlike(r"://[^\s:/@]*:$") | near.rlike(r"PRIVATE KEY-----\s*$")),
+        share(r"\s"),
     ]
 
 
@@ -131,7 +152,7 @@ def _cut(text: Column) -> Column:
     """The text as an array: what precedes a candidate, the candidate, what follows, and so on; one pass of the pattern."""
 
     def by(mark: Column) -> Column:
-        return F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(F.lit("$1"), mark, F.lit("$2$3"), mark)), mark, -1)
+        return F.split(F.regexp_replace(text, F.lit(CANDIDATE), F.concat(F.lit(_BEFORE), mark, F.lit(_VALUE), mark)), mark, -1)
 
     return F.when(F.instr(text, _MARK) == 0, by(F.lit(_MARK))).otherwise(by(F.concat(F.lit(_MARK), F.md5(text), F.lit(_MARK))))
 
@@ -142,18 +163,19 @@ def _once(c: Column) -> Column:
 
 
 def described(text: Column, path: Column, corpus: Corpus) -> tuple[Column, Column]:
-    """(cut text, features of each of its parts, as arrays: null for those between candidates and for mere punctuation)."""
+    """(cut text, features of each of its parts, as arrays: null for those between candidates, names and mere punctuation)."""
     parts = _cut(F.coalesce(text.cast("string"), F.lit("")))
 
     def before(all_, i):
         # what stands before a candidate, as far as NEAR reaches: four parts are two candidates and the text between them
         last = F.slice(all_, F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4)))
-        return F.array_join(F.transform(last, lambda x: F.right(x, F.lit(NEAR))), "")
+        return F.array_join(F.transform(last, lambda x: F.right(x, F.lit(NEAR + 1))), "")
 
     def features(all_):
         def one(x, i):
             own = _features(x, before(all_, i), F.concat(F.get(all_, i + 1), F.coalesce(F.get(all_, i + 2), F.lit(""))), F.coalesce(path.cast("string"), F.lit("")), corpus)
-            return F.when((i % 2 == 1) & x.rlike("[A-Za-z0-9]{3}"), F.array(*(c.cast("double") for c in own)))
+            name = x.rlike(_NAME) & F.coalesce(F.get(all_, i + 1), F.lit("")).rlike(_NAMES)
+            return F.when((i % 2 == 1) & x.rlike("[A-Za-z0-9]") & ~name, F.array(*(c.cast("double") for c in own)))
 
         return F.transform(all_, one)
 
@@ -164,8 +186,10 @@ def described(text: Column, path: Column, corpus: Corpus) -> tuple[Column, Colum
 #: Names of what is secret and of what is not, and how values stand in texts (n: name, N: in capitals).
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "access_token", "auth_token", "client_secret", "private_key", "credential", "secret_access_key", "db_password", "bearer")
 OTHER_NAMES = ("commit", "commits", "revision", "sha1", "sha256", "sha256sum", "md5", "checksum", "digest", "etag", "order", "order number", "invoice", "tracking", "serial", "isbn", "phone", "card number", "uuid", "request id", "build", "version", "hash", "id", "url", "path", "file", "image", "ref")
-ASSIGNED = ('{n} = "{v}"', "{n}: '{v}'", "{N}={v}", '"{n}": "{v}"', "{n} = {v}", 'export {N}="{v}"', "my_{n}=`{v}`", "{n}: {v}", "SERVICE_{N}: {v}", "--{n} {v}", "{n} is {v}", "Bearer {v}")
-NAMED = ("{n} {v}", "{n}: {v}", "{n}={v}", '{n} = "{v}"', "({n} {v})", "{n} {v}.", "see {v} there", "at {v}")
+ASSIGNED = ('{n} = "{v}"', "{n}: '{v}'", "{N}={v}", '"{n}": "{v}"', "{n} = {v}", 'export {N}="{v}"', "my_{n}=`{v}`", "{n}: {v}", "SERVICE_{N}: {v}", "--{n} {v}", "{n} is {v}", "Bearer {v}", '{n} => "{v}"', "{n} := '{v}'")
+NAMED = ("{n} {v}", "{n}: {v}", "{n}={v}", '{n} = "{v}"', "({n} {v})", "{n} {v}.", "see {v} there", "at {v}", "{n} is {v}", '{n} => "{v}"')
+#: Where only passwords stand, and a key between its lines.
+LOGIN, PEM = ("https://{n}:{v}@db.example.org/x", "amqp://admin:{v}@queue:5672"), "-----BEGIN RSA PRIVATE KEY-----\n{v}\n-----END RSA PRIVATE KEY-----"
 
 
 def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS, seed: int = SEED, path: str = "source") -> DataFrame:
@@ -192,6 +216,9 @@ def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS,
     secret = {
         "hex": cut(hexes, 40), "hex32": cut(hexes, 32), "hexcaps": F.upper(cut(hexes, 40)), "base64": cut(b64, 40), "long": b64, "base62": cut(b62, 24), "short": cut(b62, 12), "letters": cut(letters, 20),
         "anyhex": cut(hexes, F.get(F.array(*map(F.lit, (16, 18, 20, 24, 28, 48, 64))), draw("length", 7))), "password": F.concat(cut(letters, 6), pick("mark", ("-", "_", "+", ".")), cut(numbers, 4)),
+        "simple": F.concat(F.lower(cut(letters, F.get(F.array(*map(F.lit, (4, 5, 6, 7, 8))), draw("length", 5)))), cut(numbers, F.get(F.array(*map(F.lit, (1, 2, 3))), draw("tail", 3)))),
+        "marked": F.concat(cut(letters, 3), pick("mark", ("@", "#", "$", "%", "&", "*")), cut(letters, F.get(F.array(*map(F.lit, (2, 4, 6))), draw("length", 3)), 4), cut(numbers, 2), pick("end", ("!", "?", "x", "^", "=", "~"))),
+        "salted": F.concat(cut(b62, 4), cut(numbers, 2), pick("mark", ("&", "!", "(", "/", ";")), cut(b62, 5, 9), pick("end", ("!", "x", "9"))),
     }
     bare = {
         "cloud": F.concat(F.lit("AKIA"), F.upper(cut(b62, 16))), "host": F.concat(F.lit("ghp_"), cut(b62, 36)), "pay": F.concat(F.lit("sk_live_"), cut(b62, 24)),
@@ -212,12 +239,15 @@ def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS,
     dummy = {
         "example": F.concat(F.lit("EXAMPLE"), F.upper(F.regexp_replace(name, "_", "")), F.lit("KEY")), "your": F.concat(F.lit("your-"), F.regexp_replace(name, "_", "-"), F.lit("-here")), "crosses": F.lit("x" * 20),
         "change": F.lit("changeme-changeme"), "zeros": F.lit("0" * 24), "words": name, "count": F.lit("1234567890123456"),
+        "word": F.lower(F.regexp_replace(F.get(near, F.lit(0)), "[^A-Za-z]", "")), "none": pick("none", ("none", "null", "string", "required", "invalid", "optional", "disabled", "undefined", "<password>", "${SECRET}", "%(password)s", "********")),
     }
     one = lambda kind, label, value, form, names, where: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), value.alias("value"), form.alias("form"), names.alias("name"), where.alias("path"))
     mine, fixture = F.col("path"), F.concat(F.lit("tests/fixtures/"), F.col("path"))
     named, assigned = pick("n", SECRET_NAMES), pick("f", ASSIGNED)
     options = [one(k, 1, v, assigned, named, mine) for k, v in secret.items()]
     options += [one(k, 1, v, pick("f", (*ASSIGNED, "{v}", "use {v} here")), named, mine) for k, v in bare.items()]
+    options += [one(f"login-{k}", 1, secret[k], pick("f", LOGIN), named, mine) for k in ("password", "base62", "simple")]
+    options += [one("pem", 1, F.concat_ws("\n", b64, F.reverse(b64)), F.lit(PEM), named, mine)]
     options += [one(k, 0, v, pick("f", NAMED), pick("o", OTHER_NAMES), mine) for k, v in other.items()]
     options += [one(k, 0, v, pick("f", (*NAMED, "{v}", "{v},", '"{v}"')), pick("o", (*OTHER_NAMES, "name", "label", "title")), mine) for k, v in plain.items()]
     options += [one(f"dummy-{k}", 0, v, assigned, named, mine) for k, v in dummy.items()]
@@ -225,7 +255,7 @@ def planted(docs: DataFrame, findings: int = FINDINGS, contexts: int = CONTEXTS,
     rows = rows.select("w", at.alias("at"), F.get(F.array(*options), draw("kind", len(options))).alias("x"))
     said = F.replace(F.replace(F.replace("x.form", F.lit("{n}"), F.col("x.name")), F.lit("{N}"), F.upper("x.name")), F.lit("{v}"), F.col("x.value"))
     left, right = F.slice("w", F.greatest(F.lit(1), F.col("at") - 6), F.least(F.col("at"), F.lit(7))), F.slice("w", F.col("at") + 1, 7)
-    rows = rows.where("length(x.value) >= 8")
+    rows = rows.where("length(x.value) >= 4")
     return checkpoint(rows.select(F.concat_ws(" ", F.array_join(left, " "), said, F.array_join(right, " ")).alias("text"), "x.path", "x.value", "x.kind", "x.label"))
 
 
