@@ -7,15 +7,16 @@ byte. The gadget of a merge (u, v) -> uv
 * gives the arcs of u a new target: a copy of their old one without the arc of v, as the two would be merged;
 * adds an arc of uv beside every arc of u, to where the arcs of v lead.
 
-So all arcs of one token lead to one state, each merge makes one state at most, and a state is stored as what it was
-copied from and the arc it lacks: the table of transitions takes a few numbers a token. An arc's label is its token's
-bytes. Every prefix of a word has exactly one path, so an encoder that walks the labels from the reached places of a
-word, left to right, needs no search: it reaches each place once. Decoding writes the labels of the arcs.
+So all arcs of one token lead to one state, each merge makes one state at most, and a state is stored as whose chain of
+copies it is in and the arc it lacks: the table of transitions takes a few numbers a token. An arc's label is its token's
+bytes. Every prefix of a word has exactly one path, so a place of a word has one state, and an encoder that follows the
+labels meets each place once at most. Decoding writes the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from fieldloom.llm import _text as T
 from fieldloom.llm.token_counts import PATTERN, byte_letters, check
 
 #: Words that a worker remembers, in two generations of so many, and the bytes of the longest one.
-REMEMBERED, LONGEST = 150_000, 256
+REMEMBERED, LONGEST = 400_000, 256
 
 
 class Automaton:
@@ -39,7 +40,10 @@ class Automaton:
         self.left = list(range(n))  # the token whose arcs a token's arcs stand beside
         self.made = [0] * n  # the state up to which a token's arcs stand where those of `left` do
         self.target = [0] * n  # where a token's arcs lead; None if it has none
-        self.parent, self.lacks = [0] * (len(merges) + 1), [-1] * (len(merges) + 1)
+        self.owner = [0] * (len(merges) + 1)  # the token u whose target a state was made to be
+        self.chain: list[list[int]] = [[] for _ in range(n)]  # all states made for u: each lacks one arc more
+        self.base = [0] * n  # what the first of them was copied from
+        self.lacks: dict[tuple[int, int], int] = {}  # (u, v) to the state of u's chain that lacks v first
         self.label = [bytes([b]) for b in range(256)]
         for j, (u, v) in enumerate(merges):
             self.gadget(256 + j, j + 1, u, v)
@@ -63,43 +67,55 @@ class Automaton:
         if before is None or self.target[v] is None or not self.arc(before, v):
             self.target[t] = None  # u is never followed by v here, so the merge never happens
             return
-        self.parent[state], self.lacks[state] = before, v
-        self.target[t] = self.target[v]
+        self.target[t] = self.base[t] = self.target[v]
+        self.owner[state], self.lacks[u, v] = u, state
+        self.chain[u].append(state)
         self.target[u] = state
 
     def arc(self, state: int, t: int) -> bool:
-        """Whether the state has an arc of token t (a token that has arcs at all)."""
-        parent, lacks, made, left = self.parent, self.lacks, self.made, self.left
+        """Whether the state has an arc of token t (a token that has arcs at all): a few steps down the gadgets."""
+        made, left = self.made, self.left
         while state:
             if state > made[t]:
-                if lacks[state] == t:
+                u = self.owner[state]
+                if self.lacks.get((u, t), state + 1) <= state:
                     return False
-                state = parent[state]
+                older = bisect_right(self.chain[u], made[t])
+                state = self.chain[u][older - 1] if older else self.base[u]
             else:
                 t = left[t]
         return True
 
+    def matches(self, word: bytes, i: int) -> list[int]:
+        """The tokens whose labels stand at i, the longest last."""
+        follow, token, at, out = self.next.get, self.token, 0, []
+        for j in range(i, len(word)):
+            at = follow(at << 8 | word[j], -1)
+            if at < 0:
+                break
+            if token[at] >= 0:
+                out.append(token[at])
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of the only path that spells the word."""
-        n = len(word)
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        if n:
-            state[0] = 0
-        follow, token, target, arc = self.next.get, self.token, self.target, self.arc
-        for i in range(n):
-            at, s = 0, state[i]
-            for j in range(i, n):
-                at = follow(at << 8 | word[j], -1)
-                if at < 0:
+        """The tokens of the only path that spells the word. A place has one state however it is reached, so one that
+        leads nowhere is marked and met once: long labels first, the cost grows with the length."""
+        n, i, state = len(word), 0, 0
+        path: list[tuple] = []
+        dead = bytearray(n + 1)
+        ahead = self.matches(word, 0)
+        while i < n:
+            while ahead:
+                t = ahead.pop()
+                j = i + len(self.label[t])
+                if not dead[j] and self.arc(state, t):
+                    path.append((i, state, ahead, t))
+                    i, state, ahead = j, self.target[t], self.matches(word, j)
                     break
-                t = token[at]
-                if t >= 0 and state[j + 1] < 0 and arc(s, t):
-                    state[j + 1], back[j + 1] = target[t], t
-        out = []
-        while n:
-            out.append(back[n])
-            n -= len(self.label[back[n]])
-        return out[::-1]
+            else:
+                dead[i] = 1
+                i, state, ahead, _ = path.pop()
+        return [x[3] for x in path]
 
 
 class Words(dict):
