@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fieldloom.operators.shared import checkpoint
+from fieldloom.operators.shared import checkpoint, sized, stored
 
 KEY = ["graph_id", "src", "dst"]
 
@@ -126,3 +130,121 @@ def star_expansion(hyper: DataFrame) -> DataFrame:
     big = hyper.where("size(nodes) > 2").select("graph_id", (-F.col("edge_id") - 1).alias("src"), F.explode("nodes").alias("dst"), (F.col("value") / F.size("nodes")).alias("w"))
     pair = hyper.where("size(nodes) = 2").select("graph_id", F.get("nodes", F.lit(0)).alias("src"), F.get("nodes", F.lit(1)).alias("dst"), F.col("value").alias("w"))
     return big.unionByName(pair)
+
+
+def merge_tree(borders: DataFrame) -> DataFrame:
+    """The merges (graph_id, a, b, height) that join regions over their weakest mean border until none is left.
+
+    borders: (graph_id, a, b, s, n): the regions a and b meet at n places whose strengths sum to s (integers, so that
+    sums have one value in any order). A merge takes the border of least s / n (on ties the first by a, then b, where
+    regions are in the order of their hashes, and a comes before b); b names both from then on, and borders to a third
+    region are added up. Heights never fall along the tree, so the merges up to a height are that level's regions: an
+    ultrametric tree.
+
+    A border that is the least of both its regions stays so until it is merged, whatever is merged elsewhere: a mean of
+    two borders is no less than the smaller, and a greater name comes later on ties. So each round merges all such
+    borders at once, and gives the tree that one merge after another would; as names are hashed, a fair share of the
+    borders of a plateau are such. Borders of a region with itself, nulls and
+    repeated rows: the first are left out, nulls too, the last are added up.
+    """
+    e = borders.where("a <> b and s is not null and n > 0").select("graph_id", *(F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in "ab"), "s", "n")
+    e = e.select("graph_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "n")
+    # as a table: a checkpoint keeps what the optimizer knows of its rows, which would double in every round
+    e = stored(e.groupBy("graph_id", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    tree = e.select("graph_id", "a", "b", (F.col("s") / F.col("n")).alias("height")).limit(0)
+    rows = e.count()
+    while rows:
+        e = sized(e, rows)
+        key = F.struct((F.col("s") / F.col("n")).alias("h"), "a", "b").alias("k")
+        ends = e.select("graph_id", F.col("a").alias("x"), key).union(e.select("graph_id", F.col("b").alias("x"), key))
+        best = ends.groupBy("graph_id", "x").agg(F.min("k").alias("k"))
+        both = best.groupBy("graph_id", "k").agg(F.count("*").alias("m")).where("m = 2")
+        both = checkpoint(sized(both.select("graph_id", "k.a", "k.b", F.col("k.h").alias("height")), rows))
+        tree = tree.union(both)
+        for end in ("a", "b"):
+            up = both.select("graph_id", F.col("a").alias(end), F.col("b").alias("to"))
+            e = e.join(up, ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        e = e.where("a <> b").select("graph_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "n")
+        e = stored(sized(e.groupBy("graph_id", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), rows))
+        rows = e.count()
+    return tree.select("graph_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "height")
+
+
+def normalized(edges: DataFrame) -> DataFrame:
+    """Edges (both ways) with w divided by the roots of both ends' sums of weights, which must be positive."""
+    deg = edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.sum("w").alias("_d"))
+    out = edges.join(deg.toDF("graph_id", "src", "_a"), ["graph_id", "src"]).join(deg.toDF("graph_id", "dst", "_b"), ["graph_id", "dst"])
+    return out.select(*KEY, (F.col("w") / F.sqrt(F.col("_a") * F.col("_b"))).alias("w"))
+
+
+def _ritz(k: int):
+    """Rows (graph_id, alpha, beta) to the k largest eigenvalues of the tridiagonal matrix, the vectors, and the residuals."""
+
+    def run(frames):
+        for df in frames:
+            out = []
+            for g, a, b in zip(df["graph_id"], df["alpha"], df["beta"]):
+                end = np.flatnonzero(np.asarray(b) < 1e-9)
+                m = int(end[0]) + 1 if len(end) else len(a)  # from there on the space is exhausted
+                t = np.diag(np.asarray(a, float)[:m]) + np.diag(np.asarray(b, float)[: m - 1], 1) + np.diag(np.asarray(b, float)[: m - 1], -1)
+                value, vector = np.linalg.eigh(t)
+                own = np.argsort(-value)[:k]
+                out.append((g, value[own].tolist(), vector[:, own].T.tolist(), np.abs(b[m - 1] * vector[m - 1, own]).tolist()))
+            yield pd.DataFrame(out, columns=["graph_id", "value", "vector", "residual"])
+
+    return run
+
+
+def lanczos(edges: DataFrame, k: int = 2, rounds: int = 60, tolerance: float = 1e-5, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(values, vectors) of the k largest eigenvalues of each graph's symmetric matrix (edges both ways).
+
+    values: graph_id, value (array, falling), residual (array); vectors: graph_id, node, x (array, one entry a value). Lanczos
+    iteration: a round is one product of the edges with the newest vector (a join on the node and sums, partial ones
+    first) and its orthogonalisation against all earlier ones, whose coefficients are sums over the nodes; only these
+    leave the tasks, one row a graph, in which the small tridiagonal problem is solved. It ends when the residuals of
+    all graphs are within the tolerance, which is looked at every tenth round, or after `rounds`; the residuals tell. A
+    graph with fewer nodes than k has fewer values. The start is drawn by a hash of the node, so runs repeat.
+    """
+    edges = stored(edges.select(*KEY, "w").repartition("graph_id", "dst"))
+    start = nodes(edges).withColumn("x", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5)
+    norm = start.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("l"))
+    state = checkpoint(start.join(norm, "graph_id").select("graph_id", "node", F.array(F.col("x") / F.col("l")).alias("q")))
+    kind = edges.schema["graph_id"].dataType.simpleString()
+    numbers: list[DataFrame] = []  # a row a graph from each round
+    ritz = None
+    for j in range(rounds):
+        last = state.select("graph_id", F.col("node").alias("dst"), F.element_at("q", -1).alias("x"))
+        y = edges.join(last, ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+        s = state.join(y, ["graph_id", "node"], "left").fillna(0.0, ["y"])
+        c = s.select("graph_id", "y", F.posexplode("q").alias("i", "x")).groupBy("graph_id", "i").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+        c = c.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda z: z["c"]).alias("c"))  # j + 1 numbers
+        along = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+        # as a table, without what the optimizer knows of the rounds before
+        s = stored(s.join(c, "graph_id").select("graph_id", "node", "q", (F.col("y") - along).alias("y"), F.element_at("c", -1).alias("a")))
+        own = s.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("b"), F.first("a").alias("a"))
+        own = checkpoint(own)
+        numbers.append(own.select("graph_id", F.lit(j).alias("j"), "a", "b"))
+        state = s.join(own, "graph_id").select("graph_id", "node", F.concat("q", F.array(F.when(F.col("b") < 1e-9, 0.0).otherwise(F.col("y") / F.col("b")))).alias("q"))
+        if j % 10 == 9 or j == rounds - 1:
+            small = reduce(DataFrame.union, numbers).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("j", "a", "b"))).alias("t"))
+            small = small.select("graph_id", F.col("t.a").alias("alpha"), F.col("t.b").alias("beta"))
+            ritz = checkpoint(small.mapInPandas(_ritz(k), f"graph_id {kind}, value array<double>, vector array<array<double>>, residual array<double>"))
+            if (ritz.agg(F.max(F.array_max("residual"))).first()[0] or 0.0) <= tolerance:
+                break
+    one = lambda v: F.aggregate(F.zip_with(F.slice("q", F.lit(1), F.size(v)), v, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    vectors = state.join(ritz, "graph_id").select("graph_id", "node", F.transform("vector", one).alias("x"))
+    return ritz.select("graph_id", "value", "residual"), vectors
+
+
+def spectral_halves(edges: DataFrame, **options) -> DataFrame:
+    """(graph_id, node, value, x, cluster) of every node: the second eigenvalue of the normalized matrix of symmetric edges
+    (both ways, positive), the node's entry in its generalized eigenvector, turned so that the entry of largest size (the
+    smallest node on ties) is positive, and the side (0 or 1) that its sign says: a normalized cut of each graph."""
+    deg = edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.sum("w").alias("_d"))
+    values, vectors = lanczos(normalized(edges), 2, **options)
+    v = vectors.where("size(x) > 1").join(deg, ["graph_id", "node"]).select("graph_id", "node", (F.get("x", F.lit(1)) / F.sqrt("_d")).alias("x"))
+    v = checkpoint(v)
+    top = v.groupBy("graph_id").agg(F.max(F.struct(F.round(F.abs("x"), 9).alias("size"), (-F.col("node")).alias("node"), F.signum("x").alias("s"))).alias("t"))
+    v = v.join(top, "graph_id").join(values, "graph_id")
+    x = F.col("x") * F.col("t.s")
+    return v.select("graph_id", "node", F.get("value", F.lit(1)).alias("value"), x.alias("x"), F.when(x >= 0, 1).otherwise(0).alias("cluster"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators.components import connected_components
+from fieldloom.operators.shared import checkpoint
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -73,23 +75,148 @@ def integral(px: DataFrame, value: str, by: list[str]) -> DataFrame:
     return px.withColumn("_s", F.sum(value).over(rows)).withColumn("integral", F.sum("_s").over(cols)).drop("_s")
 
 
-def masks_components(mask: DataFrame, by: list[str], key, offsets=EIGHT) -> DataFrame:
-    """mask with `component`: the smallest key of the pixels that a mask's neighbours reach. key: unique over all masks."""
-    m = mask.withColumn("_k", key)
-    near = shifted(m, offsets).join(m.select(*by, "r", "c", F.col("_k").alias("_m")), [*by, "r", "c"])
-    comp = connected_components(near.where("_m < _k"), "_k", "_m").toDF("_k", "component")
-    return m.join(comp, "_k", "left").withColumn("component", F.coalesce("component", "_k")).drop("_k")
+#: Side of the tiles in which components are found before tiles are joined.
+TILE = 64
+
+
+def _tile_components(offsets: list[tuple[int, int]]):
+    """Rows of one tile's mask (arrays r, c, at most TILE x TILE pixels) with each pixel's component: its smallest pixel by
+    column, then row. A union-find over the pixels in that order, so a root is always the smallest."""
+    back = [(a, b) for a, b in offsets if (b, a) < (0, 0)]
+
+    def labels(r: list[int], c: list[int]) -> list[int]:
+        place = {p: i for i, p in enumerate(zip(r, c))}
+        root = list(range(len(r)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, (y, x) in enumerate(zip(r, c)):
+            for a, b in back:
+                j = place.get((y + a, x + b))
+                if j is not None:
+                    p, q = find(i), find(j)
+                    root[max(p, q)] = min(p, q)
+        return [find(i) for i in range(len(r))]
+
+    def run(frames):
+        for df in frames:
+            rr, cc = [], []
+            for r, c in zip(df["r"], df["c"]):
+                at = labels(r.tolist(), c.tolist())
+                rr.append(r[at])
+                cc.append(c[at])
+            yield df.assign(lr=rr, lc=cc)
+
+    return run
+
+
+def masks_components(mask: DataFrame, by: list[str], offsets: list[tuple[int, int]] = EIGHT, tile: int = TILE) -> DataFrame:
+    """mask (by, r, c, ...) with cr, cc: the smallest pixel (by column, then row) that a mask's neighbours reach.
+
+    Two levels of disjoint sets: a union-find inside each tile, which is one row of at most tile x tile pixels, then
+    connected components of the tiles' components, of which only pixels on tile borders make edges. So what is shuffled
+    as a graph grows with the borders, not with the pixels, and no key is packed: a component is named by its mask and
+    pixel. by: what names a mask, image_id included; offsets: symmetric, one step at most. A repeated pixel counts once;
+    the other columns of mask stay.
+    """
+    m = mask.select(*by, "r", "c").distinct()
+    m = m.select(*by, F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc"), "r", "c")
+    px = F.sort_array(F.collect_list(F.struct("c", "r")))
+    t = m.groupBy(*by, "_tr", "_tc").agg(px.alias("p")).select(*by, "_tr", "_tc", F.col("p.r").cast("array<long>").alias("r"), F.col("p.c").cast("array<long>").alias("c"))
+    schema = ", ".join([*(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in t.columns), "lr array<long>", "lc array<long>"])
+    t = t.mapInPandas(_tile_components(offsets), schema).select(*by, "_tr", "_tc", F.explode(F.arrays_zip("r", "c", "lr", "lc")).alias("p"))
+    t = checkpoint(t.select(*by, "_tr", "_tc", "p.*"))
+    edge = t.where(F.pmod("r", F.lit(tile)).isin(0, tile - 1) | F.pmod("c", F.lit(tile)).isin(0, tile - 1))
+    near = shifted(edge.select(*by, "_tr", "_tc", "lr", "lc", "r", "c"), [(a, b) for a, b in offsets if (b, a) < (0, 0)])
+    near = near.where((F.floor(F.col("r") / tile) != F.col("_tr")) | (F.floor(F.col("c") / tile) != F.col("_tc")))
+    other = edge.select(*by, "r", "c", F.col("lr").alias("_r"), F.col("lc").alias("_c"))
+    ends = near.join(other, [*by, "r", "c"]).select(F.struct(*by, "lc", "lr").alias("u"), F.struct(*by, F.col("_c").alias("lc"), F.col("_r").alias("lr")).alias("v"))
+    comp = connected_components(ends.distinct()).select("node.*", F.col("component.lr").alias("cr"), F.col("component.lc").alias("cc"))
+    t = t.join(comp, [*by, "lc", "lr"], "left").select(*by, F.col("r").cast(mask.schema["r"].dataType), F.col("c").cast(mask.schema["c"].dataType), F.coalesce("cr", "lr").alias("cr"), F.coalesce("cc", "lc").alias("cc"))
+    return mask.join(t, [*by, "r", "c"])
+
+
+def _envelope(x: np.ndarray, f: np.ndarray, q: np.ndarray, p: float, shift: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each place q the least f + p (x - q - shift)^2 (to 9 digits) and its index, the smallest on ties: the
+    lower envelope of equal parabolas, kept as a stack in one pass over x (sorted)."""
+    if p == 0:
+        k = np.full(len(q), int(np.argmin(np.round(f, 9))))
+        return np.round(f[k], 9), k
+    stack, start = [0], [-np.inf]  # parabolas and where each begins to be the lowest
+    for j in range(1, len(x)):
+        while True:
+            i = stack[-1]
+            at = (x[i] + x[j]) / 2 + (f[j] - f[i]) / (2 * p * (x[j] - x[i]))
+            if at < start[-1] - 1e-7:  # ties stay, as rounded values may be equal around them
+                stack.pop()
+                start.pop()
+            else:
+                break
+        stack.append(j)
+        start.append(at)
+    stack, start = np.array(stack), np.maximum.accumulate(start)
+    k = np.searchsorted(start, q + shift, "right") - 1
+    best, at = np.full(len(q), np.inf), np.zeros(len(q), np.int64)
+    step = 2
+    while True:  # neighbours may be as low within the digits
+        place = k + step
+        own = stack[np.clip(place, 0, len(stack) - 1)]
+        value = np.round(f[own] + p * (x[own] - q - shift) ** 2, 9)
+        better = (value <= best) & (place >= 0)  # smaller ones come later
+        best, at = np.where(better, value, best), np.where(better, own, at)
+        step -= 1
+        if step < -2 and not better.any():
+            return best, at
+
+
+def _lines(p: float, shift: float):
+    """Rows of one line (arrays q: its cells, x and f: the parabolas, by x; w: what goes along with each) with the least
+    value d of each cell, and the x and w where it is."""
+
+    def run(frames):
+        for df in frames:
+            out = {"d": [], "at": [], "along": []}
+            for q, x, f, w in zip(df["q"], df["x"], df["f"], df["w"]):
+                if len(x):
+                    d, k = _envelope(x.astype(float), f.astype(float), q.astype(float), p, shift)
+                    out["d"].append(d)
+                    out["at"].append(x[k])
+                    out["along"].append(w[k])
+                else:
+                    for c in out.values():
+                        c.append([None] * len(q))
+            yield df[["image_id", "line", "q"]].assign(**out)
+
+    return run
+
+
+def _line_pass(px: DataFrame, line: str, place: str, value: str, along: str, p: float, shift: float) -> DataFrame:
+    """(image_id, line, q, d, at, along) of every cell: one row a line, one pass over it."""
+    kind = px.schema["image_id"].dataType.simpleString()
+    cell = F.sort_array(F.collect_list(F.struct(F.col(place).cast("long").alias("x"), F.col(value).cast("double").alias("f"), F.col(along).cast("long").alias("w"))))
+    lines = px.groupBy("image_id", F.col(line).cast("long").alias("line")).agg(cell.alias("p"))
+    lines = lines.select("image_id", "line", F.col("p.x").alias("q"), F.filter("p", lambda s: s["f"].isNotNull()).alias("has"))
+    lines = lines.select("image_id", "line", "q", *(F.col(f"has.{n}").alias(n) for n in "xfw"))
+    schema = f"image_id {kind}, line long, q array<long>, d array<double>, at array<long>, along array<long>"
+    out = lines.mapInPandas(_lines(p, shift), schema)
+    return out.select("image_id", "line", F.explode(F.arrays_zip("q", "d", "at", "along")).alias("z")).select("image_id", "line", "z.*")
 
 
 def distance_transform(px: DataFrame, value: str, p1: float, p2: float, p3: float, p4: float) -> DataFrame:
     """dt, u, v: the least value(v, u) + p1 (u - c - p2)^2 + p3 (v - r - p4)^2 (to 9 digits) and the column u and row v
-    where it is (the smallest v, then u on ties): along rows, then along columns."""
-    a = px.select("image_id", "r", F.col("c").alias("u"), F.col(value).alias("f"))
-    row = px.select("image_id", "r", "c").join(a, ["image_id", "r"])
-    f = F.round(F.col("f") + p1 * (F.col("u") - F.col("c") - p2) ** 2, 9)
-    row = row.groupBy("image_id", "r", "c").agg(F.min(F.struct(f.alias("f"), "u")).alias("b")).select("image_id", "r", "c", "b.f", "b.u")
-    b = row.select("image_id", "c", F.col("r").alias("v"), "f", "u")
-    out = px.select("image_id", "r", "c").join(b, ["image_id", "c"])
-    f = F.round(F.col("f") + p3 * (F.col("v") - F.col("r") - p4) ** 2, 9)
-    out = out.groupBy("image_id", "r", "c").agg(F.min(F.struct(f.alias("dt"), "v", "u")).alias("b"))
-    return out.select("image_id", "r", "c", "b.dt", "b.u", "b.v")
+    where it is (the smallest v, then u on ties): along rows, then along columns.
+
+    A line is one row of arrays, and its lower envelope of parabolas takes one pass; so there are two shuffles of the
+    pixels and a task holds some lines. Pixels without a value offer none; where a raster has no value at all dt is null.
+    p1 and p3 must not be negative.
+    """
+    if p1 < 0 or p3 < 0:
+        raise ValueError("parabolas that open downwards have no least value")
+    row = _line_pass(px, "r", "c", value, "c", p1, p2)
+    col = _line_pass(row.select("image_id", F.col("line").alias("r"), F.col("q").alias("c"), "d", F.col("at").alias("u")), "c", "r", "d", "u", p3, p4)
+    like = lambda c, name: F.col(c).cast(px.schema[name].dataType)
+    return col.select("image_id", like("q", "r").alias("r"), like("line", "c").alias("c"), F.col("d").alias("dt"), like("along", "c").alias("u"), like("at", "r").alias("v"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators import graph as G
+from fieldloom.operators import raster as R
 from fieldloom.operators.components import connected_components
-from fieldloom.plans.q_raster import image_key
+from fieldloom.operators.shared import stored
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
 
@@ -219,16 +220,17 @@ def i25(spark, d):
     "i26_hamiltonian", B.RASTER, B.EDGES, BOTH,
     f"p as (select image_id as graph_id, r, c, {PIX} as node, row_number() over (partition by image_id order by c, case when c % 2 = 1 then r else 23 - r end) as k from ras)",
     "h as (select p.graph_id, p.node, lead(node) over (partition by graph_id order by k) as nxt from p)",
-    "select h.graph_id, count(*) = count(distinct node) and count(*) filter (nxt is not null) = count(w) filter (w > 0) as path, count(*) = count(distinct node) and count(*) = 720 as all_nodes from h left join bo e on e.graph_id = h.graph_id and e.src = node and e.dst = nxt group by h.graph_id",
+    f"select h.graph_id, count(*) = count(distinct node) and count(*) filter (nxt is not null) = count(w) filter (w > 0) as path, count(*) = count(distinct node) and count(*) = 24 * {B.LAST} as all_nodes from h left join bo e on e.graph_id = h.graph_id and e.src = node and e.dst = nxt group by h.graph_id",
 )
 def i26(spark, d):
     """Is the snake through the columns a path of distinct nodes along positive edges, and does it meet every node?"""
     e = G.both_ways(edges(spark, d)).select("graph_id", F.col("src").alias("node"), F.col("dst").alias("nxt"), "w")
     w = W.partitionBy("graph_id").orderBy("c", "k")
-    p = B.raster(spark, d).select(F.col("image_id").alias("graph_id"), "c", F.when(F.col("c") % 2 == 1, F.col("r")).otherwise(23 - F.col("r")).alias("k"), B.pixel_id("r", "c").alias("node"))
+    ras, cols = B.raster_of(spark, d)
+    p = ras.select(F.col("image_id").alias("graph_id"), "c", F.when(F.col("c") % 2 == 1, F.col("r")).otherwise(23 - F.col("r")).alias("k"), B.pixel_id("r", "c").alias("node"))
     h = p.withColumn("nxt", F.lead("node").over(w)).join(e, ["graph_id", "node", "nxt"], "left")
     n, u = F.count("*"), F.countDistinct("node")
-    return h.groupBy("graph_id").agg(((n == u) & (F.count("nxt") == F.count(F.when(F.col("w") > 0, 1)))).alias("path"), ((n == u) & (n == 720)).alias("all_nodes"))
+    return h.groupBy("graph_id").agg(((n == u) & (F.count("nxt") == F.count(F.when(F.col("w") > 0, 1)))).alias("path"), ((n == u) & (n == B.ROWS * cols)).alias("all_nodes"))
 
 
 @query(
@@ -255,24 +257,31 @@ def i28(spark, d):
 @query("i31_lambda_sweep")
 def i31(spark, d):
     """Nested regions: components of the raster graph at every threshold of the edge weight, and their mean weight."""
-    ras = B.raster(spark, d).cache()
-    base = image_key(ras.select("image_id")).alias("base")
-    e = edges(spark, d).cache()
-    key = ras.select("image_id", base).distinct().toDF("graph_id", "base")
-    e = e.join(F.broadcast(key), "graph_id")  # one row an image
+    e = edges(spark, d)
     t = e.select("*", F.explode(F.array(*(F.lit(x) for x in (0.6, 0.7, 0.8, 0.9)))).alias("t")).where("w >= t")
-    t = t.withColumn("shift", (F.col("base") + F.floor(F.col("t") * 10 + 0.5) * 1000).cast("long"))
-    comp = connected_components(t.select((F.col("shift") + F.col("src")).alias("u"), (F.col("shift") + F.col("dst")).alias("v")))
-    t = t.join(comp, F.col("node") == F.col("shift") + F.col("src"))
-    out = t.groupBy("graph_id", "t", (F.col("component") % 1000).alias("region")).agg(F.count("*").alias("n_edges"), F.round(F.avg("w"), 5).alias("mean_w"))
-    return out
+    node = lambda p: F.struct("graph_id", "t", F.col(p).alias("pixel"))
+    t = stored(t.select("graph_id", "t", "w", node("src").alias("u"), node("dst").alias("v")))
+    t = t.join(connected_components(t), F.col("node") == F.col("u"))
+    return t.groupBy("graph_id", "t", F.col("component.pixel").alias("region")).agg(F.count("*").alias("n_edges"), F.round(F.avg("w"), 5).alias("mean_w"))
+
+
+def region_borders(spark, d):
+    """Borders (graph_id, a, b, s, n) of the regions of equal value, named by their smallest pixels: s in millionths."""
+    comp = R.masks_components(B.raster(spark, d), ["image_id", "val"], R.FOUR)
+    reg = stored(comp.select(F.col("image_id").alias("graph_id"), B.pixel_id("r", "c").alias("node"), B.pixel_id("cr", "cc").alias("label")))
+    cross = G.with_labels(edges(spark, d), reg).where("la <> lb")
+    return cross.groupBy("graph_id", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum(F.round((1 - F.col("w")) * 1_000_000).cast("long")).alias("s"), F.count("*").alias("n"))
+
+
+@query("i31_merge_tree")
+def i31_tree(spark, d):
+    """Nested regions as a tree: regions of equal value merge over their weakest mean border, borders are averaged anew."""
+    tree = G.merge_tree(region_borders(spark, d))
+    return tree.select("graph_id", F.col("a").alias("absorbed"), F.col("b").alias("kept"), F.round(F.col("height") / 1_000_000, 6).alias("height"))
 
 
 @query("i32_spectral_grouping")
 def i32(spark, d):
-    """Groups of pixels by power iteration on the affinity graph of one raster's labels."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    lk = G.linkage(G.both_ways(edges(spark, d)), node_labels(spark, d)).groupBy("la", "lb").agg(F.sum("w").alias("w")).where("la < lb")
-    pic = PowerIterationClustering(k=2, maxIter=10, srcCol="la", dstCol="lb", weightCol="w")
-    return pic.assignClusters(lk.select(F.col("la").cast("long").alias("la"), F.col("lb").cast("long").alias("lb"), "w"))
+    """Two groups of pixels of each raster: the signs of the second eigenvector of its normalized affinity matrix."""
+    halves = G.spectral_halves(G.both_ways(edges(spark, d)))
+    return halves.select("graph_id", "node", F.round("value", 5).alias("value"), F.round("x", 4).alias("x"), "cluster")

@@ -146,14 +146,15 @@ def a31(spark, d):
 
 @query(
     "a28_pyramid_hist", B.RASTER, "g as (select image_id, r, c, val, abs(r * 7 + c * 3) % 6 as o from ras)",
-    "l as (select image_id, l, floor(r / (24 // (1 << l)))::int as x, floor((c - 1) / (30 // (1 << l)))::int as y, o, val from g, (select unnest(range(0, 3)) as l) where r < (24 // (1 << l)) * (1 << l) and c <= (30 // (1 << l)) * (1 << l))",
+    f"l as (select image_id, l, floor(r / (24 // (1 << l)))::int as x, floor((c - 1) / (k // (1 << l)))::int as y, o, val from g, (select {B.LAST} as k), (select unnest(range(0, 3)) as l) where r < (24 // (1 << l)) * (1 << l) and c <= (k // (1 << l)) * (1 << l))",
     "select image_id, l::int as l, x, y, o, round(sum(val), 4) as h from l group by all",
 )
 def a28(spark, d):
     """Sums by pyramid level, cell and orientation bin; pixels beyond the last whole cell are left out."""
-    g = B.raster(spark, d).withColumn("o", F.abs(F.col("r") * 7 + F.col("c") * 3) % 6)
+    ras, cols = B.raster_of(spark, d)
+    g = ras.withColumn("o", F.abs(F.col("r") * 7 + F.col("c") * 3) % 6)
     g = g.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("k", F.expr("shiftleft(1, l)"))
-    g = g.withColumn("h", F.expr("24 div k")).withColumn("w", F.expr("30 div k")).where("r < h * k and c <= w * k")
+    g = g.withColumn("h", F.expr("24 div k")).withColumn("w", F.expr(f"{cols} div k")).where("r < h * k and c <= w * k")
     return g.groupBy("image_id", "l", F.expr("cast(r div h as int)").alias("x"), F.expr("cast((c - 1) div w as int)").alias("y"), "o").agg(F.round(F.sum("val"), 4).alias("h"))
 
 

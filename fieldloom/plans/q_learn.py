@@ -11,8 +11,7 @@ from fieldloom.operators import cluster as C
 from fieldloom.operators import graph as G
 from fieldloom.operators import raster as R
 from fieldloom.operators import sets
-from fieldloom.operators.shared import shared_folder
-from fieldloom.plans.q_raster import image_key
+from fieldloom.operators.shared import shared_folder, stored
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
 
@@ -122,9 +121,11 @@ def i19(spark, d):
 
 
 def quick_labels(spark, d):
-    q = quickshift(spark, d).cache()
-    key = image_key(q).alias("base")
-    f = q.select("image_id", "r", "c", "val", (key + B.pixel_id("r", "c")).cast("long").alias("node"), (key + F.coalesce("parent", B.pixel_id("r", "c"))).cast("long").alias("parent"))
+    """The quickshift forest with each pixel's root; nodes are (image, pixel)."""
+    q = quickshift(spark, d).select("image_id", "r", "c", "val", "parent")
+    node = lambda p: F.struct("image_id", p.alias("pixel"))
+    own = B.pixel_id("r", "c")
+    f = stored(q.select("image_id", "r", "c", "val", node(own).alias("node"), node(F.coalesce("parent", own)).alias("parent")))
     return f.join(G.roots(f), "node")
 
 
@@ -135,7 +136,7 @@ def quick_labels(spark, d):
 )
 def i20(spark, d):
     """Roots of the quickshift forest, and clusters 1..k of each image in their order."""
-    f = quick_labels(spark, d).select("image_id", (F.col("node") % 100000).alias("node"), (F.col("root") % 100000).alias("root"))
+    f = quick_labels(spark, d).select("image_id", F.col("node.pixel").alias("node"), F.col("root.pixel").alias("root"))
     ids = f.select("image_id", "root").distinct().withColumn("cluster", F.dense_rank().over(W.partitionBy("image_id").orderBy("root")).cast("long"))
     return f.join(ids, ["image_id", "root"]).select("image_id", "node", "cluster")
 
@@ -169,9 +170,10 @@ def i16(spark, d):
 @query("x14_iterative_likelihood")
 def x14(spark, d):
     """Foreground and background likelihoods: clusters of the frame's values, then of the pixels far from them."""
-    ras = B.raster(spark, d).select("image_id", "r", "c", "val").cache()
+    ras, cols = B.raster_of(spark, d)
+    ras = ras.select("image_id", "r", "c", "val").cache()
     v = ras.select(F.struct("image_id", "r", "c").alias("vec_id"), F.array("val").alias("v"), "image_id", "r", "c")
-    frame = v.where("r in (0, 23) or c in (1, 30)")
+    frame = v.where(f"r in (0, 23) or c in (1, {cols})")
     def seeds(df, k):
         """k values at equal steps of the sorted distinct values (a raster's values are few)."""
         q = df.select(F.explode("v").alias("x")).agg(F.percentile("x", [(i + 0.5) / k for i in range(k)]).alias("q"))

@@ -59,7 +59,7 @@ def w8(spark, d):
 
 @query(
     "w9_gradient", B.RASTER,
-    """select image_id, r, c, round(case when c = 1 then lead(val) over x - val when c = 30 then val - lag(val) over x else (lead(val) over x - lag(val) over x) / 2 end + 1e-9, 5) + 0.0 as gx,
+    f"""select image_id, r, c, round(case when c = 1 then lead(val) over x - val when c = {B.LAST} then val - lag(val) over x else (lead(val) over x - lag(val) over x) / 2 end + 1e-9, 5) + 0.0 as gx,
        round(case when r = 0 then lead(val) over y - val when r = 23 then val - lag(val) over y else (lead(val) over y - lag(val) over y) / 2 end + 1e-9, 5) + 0.0 as gy
        from ras window x as (partition by image_id, r order by c), y as (partition by image_id, c order by r)""",
 )
@@ -73,28 +73,28 @@ def w9(spark, d):
     return B.raster(spark, d).select("image_id", "r", "c", (F.round(grad(x) + 1e-9, 5) + F.lit(0.0)).alias("gx"), (F.round(grad(y) + 1e-9, 5) + F.lit(0.0)).alias("gy"))
 
 
-def local_maxima(ras):
+def local_maxima(ras, cols):
     """Pixels off the border that exceed all eight neighbours: the row-wise maxima of three, then those of three rows."""
     x, y = W.partitionBy("image_id", "r").orderBy("c"), W.partitionBy("image_id", "c").orderBy("r")
     p = ras.select("image_id", "r", "c", "val", F.lag("val").over(x).alias("a"), F.lead("val").over(x).alias("b"))
     p = p.withColumn("m", F.greatest("a", "b", "val"))
     p = p.select("*", F.lag("m").over(y).alias("up"), F.lead("m").over(y).alias("down"))
-    return p.where("r between 1 and 22 and c between 2 and 29 and val > greatest(a, b, up, down)").select("image_id", "r", "c", "val")
+    return p.where(f"r between 1 and 22 and c between 2 and {cols - 1} and val > greatest(a, b, up, down)").select("image_id", "r", "c", "val")
 
 
-LOCAL = """lm as (select a.image_id, a.r, a.c, a.val from ras a join ras b on a.image_id = b.image_id and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 and not (a.r = b.r and a.c = b.c)
-  where a.r between 1 and 22 and a.c between 2 and 29 group by all having a.val > max(b.val))"""
+LOCAL = f"""lm as (select a.image_id, a.r, a.c, a.val from ras a join ras b on a.image_id = b.image_id and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 and not (a.r = b.r and a.c = b.c)
+  where a.r between 1 and 22 and a.c between 2 and {B.LAST} - 1 group by all having a.val > max(b.val))"""
 
 
 @query("w10_local_maxima", B.RASTER, LOCAL, "select * from lm")
 def w10(spark, d):
-    return local_maxima(B.raster(spark, d))
+    return local_maxima(*B.raster_of(spark, d))
 
 
 @query("k8_peaks", B.RASTER, LOCAL, "select image_id, r, c, val from lm qualify row_number() over (partition by image_id order by val desc, r, c) <= 10")
 def k8(spark, d):
     w = W.partitionBy("image_id").orderBy(F.desc("val"), "r", "c")
-    return local_maxima(B.raster(spark, d)).withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+    return local_maxima(*B.raster_of(spark, d)).withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
 
 
 @query(
@@ -304,32 +304,19 @@ def i3(spark, d):
     return R.boundary(B.threshold_masks(B.raster(spark, d)), SEG)
 
 
-KEYS = "km as (select *, (select count(distinct image_id) from ras i where i.image_id < m.image_id) * 100000 + segment_id * 10000 + " + PIX + " as k from mask m)"
-REACH = "adj as (select a.k as u, b.k as v from km a join km b on a.image_id = b.image_id and a.segment_id = b.segment_id and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1)"
-
-
-def image_key(df):
-    """Masks' pixels as numbers, unique over all images (their place among the sorted names) and segments."""
-    names = [r[0] for r in df.select("image_id").distinct().orderBy("image_id").collect()]  # one row an image type
-    base = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))[F.col("image_id")] if names else F.lit(0)
-    return base * 100000
-
-
 @query("i5_mask_components")
 def i5(spark, d):
     """Components of every mask (8 neighbours) with at least 3 pixels: their size and smallest pixel."""
-    m = B.threshold_masks(B.raster(spark, d)).cache()
-    comp = R.masks_components(m, SEG, (image_key(m) + F.col("segment_id") * 10000 + B.pixel_id("r", "c")).cast("long"))
-    n = comp.groupBy(*SEG, "component").agg(F.count("*").alias("n")).where("n >= 3")
-    return n.select(*SEG, (F.col("component") % 10000).alias("first_pixel"), "n")
+    comp = R.masks_components(B.threshold_masks(B.raster(spark, d)), SEG)
+    n = comp.groupBy(*SEG, "cr", "cc").agg(F.count("*").alias("n")).where("n >= 3")
+    return n.select(*SEG, B.pixel_id("cr", "cc").alias("first_pixel"), "n")
 
 
 @query("i6_label_components")
 def i6(spark, d):
-    """Components of equal labels in a label map (4 neighbours)."""
-    m = B.label_map(B.raster(spark, d)).cache()
-    comp = R.masks_components(m, ["image_id", "label"], (image_key(m) + B.pixel_id("r", "c")).cast("long"), R.FOUR)
-    return comp.select("image_id", "r", "c", "label", (F.col("component") % 100000).alias("component"))
+    """Components of equal labels in a label map (4 neighbours), named by their smallest pixel."""
+    comp = R.masks_components(B.label_map(B.raster(spark, d)), ["image_id", "label"], R.FOUR)
+    return comp.select("image_id", "r", "c", "label", B.pixel_id("cr", "cc").alias("component"))
 
 
 @query("i7_merge_dust")
@@ -371,11 +358,12 @@ def merge_dust(lab, least: int):
     "a12_region_properties", B.RASTER, B.MASKS,
     "m as (select image_id, segment_id, count(*) as area, avg(r) as cr, avg(c) as cc, min(r) as r1, max(r) as r2, min(c) as c1, max(c) as c2, var_pop(c) + 1 / 12.0::double as xx, var_pop(r) + 1 / 12.0::double as yy, avg(r * c) - avg(r) * avg(c) as xy from mask group by all)",
     "e as (select *, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) as k from m)",
-    """select image_id, segment_id, area, round(cr, 5) as cr, round(cc, 5) as cc, r1, r2, c1, c2, round(2 * sqrt(2) * sqrt(xx + yy + k), 4) as major, round(2 * sqrt(2) * sqrt(greatest(0, xx + yy - k)), 4) as minor,
-       round(sqrt(4 * area / pi()), 5) as diameter, round(area / ((r2 - r1 + 1) * (c2 - c1 + 1)), 6) as extent, round(sqrt((cr - 11.5) * (cr - 11.5) + (cc - 15.5) * (cc - 15.5)), 5) as off_centre from e""",
+    f"""select image_id, segment_id, area, round(cr, 5) as cr, round(cc, 5) as cc, r1, r2, c1, c2, round(2 * sqrt(2) * sqrt(xx + yy + k), 4) as major, round(2 * sqrt(2) * sqrt(greatest(0, xx + yy - k)), 4) as minor,
+       round(sqrt(4 * area / pi()), 5) as diameter, round(area / ((r2 - r1 + 1) * (c2 - c1 + 1)), 6) as extent, round(sqrt((cr - 11.5) * (cr - 11.5) + (cc - mid) * (cc - mid)), 5) as off_centre from e, (select ({B.LAST} + 1) / 2.0::double as mid)""",
 )
 def a12(spark, d):
-    m = B.threshold_masks(B.raster(spark, d)).groupBy(*SEG).agg(
+    ras, cols = B.raster_of(spark, d)
+    m = B.threshold_masks(ras).groupBy(*SEG).agg(
         F.count("*").alias("area"), F.avg("r").alias("cr"), F.avg("c").alias("cc"), F.min("r").alias("r1"), F.max("r").alias("r2"), F.min("c").alias("c1"), F.max("c").alias("c2"),
         (F.var_pop("c") + 1 / 12).alias("xx"), (F.var_pop("r") + 1 / 12).alias("yy"), (F.avg(F.col("r") * F.col("c")) - F.avg("r") * F.avg("c")).alias("xy"),
     )
@@ -383,7 +371,7 @@ def a12(spark, d):
     axis = lambda s: F.round(2 * math.sqrt(2) * F.sqrt(F.greatest(F.lit(0.0), F.col("xx") + F.col("yy") + s * k)), 4)
     return m.select(
         *SEG, "area", F.round("cr", 5).alias("cr"), F.round("cc", 5).alias("cc"), "r1", "r2", "c1", "c2", axis(1).alias("major"), axis(-1).alias("minor"), F.round(F.sqrt(4 * F.col("area") / math.pi), 5).alias("diameter"),
-        r6(F.expr("area / ((r2 - r1 + 1) * (c2 - c1 + 1))")).alias("extent"), F.round(F.sqrt((F.col("cr") - 11.5) ** 2 + (F.col("cc") - 15.5) ** 2), 5).alias("off_centre"),
+        r6(F.expr("area / ((r2 - r1 + 1) * (c2 - c1 + 1))")).alias("extent"), F.round(F.sqrt((F.col("cr") - 11.5) ** 2 + (F.col("cc") - (cols + 1) / 2) ** 2), 5).alias("off_centre"),
     )
 
 
@@ -413,12 +401,13 @@ def a26(spark, d):
 
 
 @query(
-    "a19_contour_energy", B.RASTER, B.MASKS, EDGE4, "select b.image_id, b.segment_id, round(-avg(val) + 1e-9, 5) as energy from bnd b join ras using (image_id, r, c) where b.r between 1 and 22 and b.c between 2 and 29 group by all",
+    "a19_contour_energy", B.RASTER, B.MASKS, EDGE4, f"select b.image_id, b.segment_id, round(-avg(val) + 1e-9, 5) as energy from bnd b join ras using (image_id, r, c) where b.r between 1 and 22 and b.c between 2 and {B.LAST} - 1 group by all",
 )
 def a19(spark, d):
     """Minus the mean strength on the mask boundary, the image's frame left out."""
-    ras = B.raster(spark, d).cache()
-    b = R.boundary(B.threshold_masks(ras), SEG).where("r between 1 and 22 and c between 2 and 29")
+    ras, cols = B.raster_of(spark, d)
+    ras = ras.cache()
+    b = R.boundary(B.threshold_masks(ras), SEG).where(f"r between 1 and 22 and c between 2 and {cols - 1}")
     return b.join(ras, ["image_id", "r", "c"]).groupBy(*SEG).agg(F.round(-F.avg("val") + 1e-9, 5).alias("energy"))
 
 
@@ -464,12 +453,13 @@ def a21(spark, d):
 
 
 # scalar rasters
-@query("x10_chord_deviation", B.RASTER, "e as (select image_id, r, c, val, first(val) over w as v1, last(val) over w as v2 from ras window w as (partition by image_id, r order by c rows between unbounded preceding and unbounded following))", "d as (select image_id, r, c, abs((v2 - v1) * (c - 1) - 29 * (val - v1)) / sqrt((v2 - v1) * (v2 - v1) + 29 * 29) as dev from e)", "select image_id, r, round(max(dev), 4) as top, arg_max(c, (round(dev, 6), -c)) as at, round(sum(dev), 3) as total from d group by all")
+@query("x10_chord_deviation", B.RASTER, "e as (select image_id, r, c, val, first(val) over w as v1, last(val) over w as v2 from ras window w as (partition by image_id, r order by c rows between unbounded preceding and unbounded following))", f"d as (select image_id, r, c, abs((v2 - v1) * (c - 1) - k * (val - v1)) / sqrt((v2 - v1) * (v2 - v1) + k * k) as dev from e, (select {B.LAST} - 1 as k))", "select image_id, r, round(max(dev), 4) as top, arg_max(c, (round(dev, 6), -c)) as at, round(sum(dev), 3) as total from d group by all")
 def x10(spark, d):
     """Deviation of ordered points (a row's values) from the line through its end points."""
     w = W.partitionBy("image_id", "r").orderBy("c").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    e = B.raster(spark, d).select("image_id", "r", "c", "val", F.first("val").over(w).alias("v1"), F.last("val").over(w).alias("v2"))
-    dev = F.abs((F.col("v2") - F.col("v1")) * (F.col("c") - 1) - 29 * (F.col("val") - F.col("v1"))) / F.sqrt((F.col("v2") - F.col("v1")) ** 2 + 29 * 29)
+    ras, cols = B.raster_of(spark, d)
+    e = ras.select("image_id", "r", "c", "val", F.first("val").over(w).alias("v1"), F.last("val").over(w).alias("v2"))
+    dev = F.abs((F.col("v2") - F.col("v1")) * (F.col("c") - 1) - (cols - 1) * (F.col("val") - F.col("v1"))) / F.sqrt((F.col("v2") - F.col("v1")) ** 2 + (cols - 1) ** 2)
     e = e.select("image_id", "r", "c", dev.alias("dev"))
     return e.groupBy("image_id", "r").agg(F.round(F.max("dev"), 4).alias("top"), F.max_by("c", F.struct(F.round("dev", 6), -F.col("c"))).alias("at"), F.round(F.sum("dev"), 3).alias("total"))
 
@@ -485,10 +475,11 @@ def x11(spark, d):
     return s.select("image_id", F.expr("cast(r div 2 as int)").alias("r2"), F.expr("cast((c + 1) div 2 as int)").alias("c2"), r6((F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))
 
 
-@query("x12_frame_bias", B.RASTER, "f as (select image_id, r, c, sqrt((r - 10) * (r - 10) + (c - 12) * (c - 12)) as d from ras where r in (0, 23) or c in (1, 30))", "select image_id, r, c, round(d / max(d) over (partition by image_id), 6) as bias from f")
+@query("x12_frame_bias", B.RASTER, f"f as (select image_id, r, c, sqrt((r - 10) * (r - 10) + (c - 12) * (c - 12)) as d from ras where r in (0, 23) or c in (1, {B.LAST}))", "select image_id, r, c, round(d / max(d) over (partition by image_id), 6) as bias from f")
 def x12(spark, d):
     """Distance of frame pixels from a seed's centroid over the largest."""
-    f = B.raster(spark, d).where("r in (0, 23) or c in (1, 30)").withColumn("d", F.sqrt((F.col("r") - 10) ** 2 + (F.col("c") - 12) ** 2))
+    ras, cols = B.raster_of(spark, d)
+    f = ras.where(f"r in (0, 23) or c in (1, {cols})").withColumn("d", F.sqrt((F.col("r") - 10) ** 2 + (F.col("c") - 12) ** 2))
     top = f.groupBy("image_id").agg(F.max("d").alias("m"))
     return f.join(F.broadcast(top), "image_id").select("image_id", "r", "c", r6(F.col("d") / F.col("m")).alias("bias"))
 
@@ -508,22 +499,25 @@ def x15(spark, d):
 
 
 # grids and windows
-@query("i33_seed_grid", B.RASTER, "select distinct image_id, i::int as i, j::int as j, greatest(0, least(23, 3 + 4 * i + a))::int as r, greatest(1, least(30, 4 + 5 * j + b))::int as c from (select distinct image_id from ras), (select unnest(range(0, 6)) as i), (select unnest(range(0, 6)) as j), (select unnest(range(-1, 2)) as a), (select unnest(range(-1, 2)) as b)")
+@query("i33_seed_grid", B.RASTER, f"select distinct image_id, i::int as i, j::int as j, greatest(0, least(23, 3 + 4 * i + a))::int as r, greatest(1, least({B.LAST}, 4 + ({B.LAST} // 6) * j + b))::int as c from (select distinct image_id from ras), (select unnest(range(0, 6)) as i), (select unnest(range(0, 6)) as j), (select unnest(range(-1, 2)) as a), (select unnest(range(-1, 2)) as b)")
 def i33(spark, d):
-    """A 6 x 6 grid of seeds of 3 x 3 pixels, clamped to the image."""
+    """A 6 x 6 grid of seeds of 3 x 3 pixels over the whole image, clamped to it."""
     seq = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
-    g = B.raster(spark, d).select("image_id").distinct()
+    ras, cols = B.raster_of(spark, d)
+    g = ras.select("image_id").distinct()
     for n, (a, b) in {"i": (0, 5), "j": (0, 5), "a": (-1, 1), "b": (-1, 1)}.items():
         g = g.select("*", seq(a, b).alias(n))
-    return g.select("image_id", "i", "j", F.expr("greatest(0, least(23, 3 + 4 * i + a))").alias("r"), F.expr("greatest(1, least(30, 4 + 5 * j + b))").alias("c")).distinct()
+    return g.select("image_id", "i", "j", F.expr("greatest(0, least(23, 3 + 4 * i + a))").alias("r"), F.expr(f"greatest(1, least({cols}, 4 + {cols // 6} * j + b))").alias("c")).distinct()
 
 
-WIN = "win as (select image_id, i * 6 + j as w, greatest(1, 1 + 5 * j - 9)::int as x1, least(30, 1 + 5 * j + 9)::int as x2, greatest(0, 4 * i - 9)::int as y1, least(23, 4 * i + 9)::int as y2 from (select distinct image_id from ras), (select unnest(range(0, 6)) as i), (select unnest(range(0, 6)) as j))"
+WIN = f"win as (select image_id, i * 6 + j as w, greatest(1, 1 + (k // 6) * j - h)::int as x1, least(k, 1 + (k // 6) * j + h)::int as x2, greatest(0, 4 * i - h)::int as y1, least(23, 4 * i + h)::int as y2 from (select distinct image_id from ras), (select {B.LAST} as k, 3 * greatest(24, {B.LAST}) // 10 as h), (select unnest(range(0, 6)) as i), (select unnest(range(0, 6)) as j))"
 
 
 def window_grid(spark, d):
-    g = B.raster(spark, d).select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
-    return g.selectExpr("image_id", "cast(i * 6 + j as bigint) as w", "greatest(1, 1 + 5 * j - 9) as x1", "least(30, 1 + 5 * j + 9) as x2", "greatest(0, 4 * i - 9) as y1", "least(23, 4 * i + 9) as y2")
+    ras, cols = B.raster_of(spark, d)
+    h, step = 3 * max(B.ROWS, cols) // 10, cols // 6
+    g = ras.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    return g.selectExpr("image_id", "cast(i * 6 + j as bigint) as w", f"greatest(1, 1 + {step} * j - {h}) as x1", f"least({cols}, 1 + {step} * j + {h}) as x2", f"greatest(0, 4 * i - {h}) as y1", f"least(23, 4 * i + {h}) as y2")
 
 
 @query("i34_window_grid", B.RASTER, WIN, "select * from win")
@@ -540,16 +534,17 @@ def i35(spark, d):
 
 @query(
     "i36_hypotheses", B.RASTER, B.MASKS,
-    "fr as (select image_id, r, c from ras where r in (0, 23) or c in (1, 30))",
+    f"fr as (select image_id, r, c from ras where r in (0, 23) or c in (1, {B.LAST}))",
     """select 'internal' as kind, image_id, segment_id as seed, r, c, 1::int as class, 1000.0 as unary from mask where segment_id >= 3
        union all select 'subframe', s.image_id, s.segment_id, f.r, f.c, 0, -1000.0 from (select distinct image_id, segment_id from mask where segment_id >= 3) s join fr f using (image_id)
        where (s.image_id, s.segment_id, f.r, f.c) not in (select (image_id, segment_id, r, c) from mask)""",
 )
 def i36(spark, d):
     """Per seed the rows of its own pixels (class 1) and of the frame outside it (class 0), with their strengths."""
-    ras = B.raster(spark, d).cache()
+    ras, cols = B.raster_of(spark, d)
+    ras = ras.cache()
     m = B.threshold_masks(ras).where("segment_id >= 3").select("image_id", F.col("segment_id").alias("seed"), "r", "c").cache()
-    frame = m.select("image_id", "seed").distinct().join(ras.where("r in (0, 23) or c in (1, 30)").select("image_id", "r", "c"), "image_id").join(m, ["image_id", "seed", "r", "c"], "left_anti")
+    frame = m.select("image_id", "seed").distinct().join(ras.where(f"r in (0, 23) or c in (1, {cols})").select("image_id", "r", "c"), "image_id").join(m, ["image_id", "seed", "r", "c"], "left_anti")
     row = lambda df, kind, k, u: df.select(F.lit(kind).alias("kind"), "image_id", "seed", "r", "c", F.lit(k).alias("class"), F.lit(u).alias("unary"))
     return row(m, "internal", 1, 1000.0).union(row(frame, "subframe", 0, -1000.0))
 

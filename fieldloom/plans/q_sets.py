@@ -83,12 +83,13 @@ def j4(spark, d):
 
 @query(
     "j5_area_weighted", B.RASTER, B.LABELMAP, B.MASKS, GT, VOIDED, cross("gtc", "care"),
-    f"select image_id, object_id, segment_id, round(inter / (ng + nm - inter) * (ng / {B.ROWS * B.COLS}.0), 6) as q from cr",
+    f"select image_id, object_id, segment_id, round(inter / (ng + nm - inter) * (ng / ({B.ROWS}.0 * {B.LAST})), 6) as q from cr",
 )
 def j5(spark, d):
     gt, m, void = gt_and_masks(spark, d)
+    cols = B.raster_of(spark, d)[1]
     q = sets.quality_care(gt, m, void, ["r", "c"])
-    return q.select("image_id", "object_id", "segment_id", r6(F.col("q") * (F.col("ng") / (B.ROWS * B.COLS))).alias("q"))
+    return q.select("image_id", "object_id", "segment_id", r6(F.col("q") * (F.col("ng") / (B.ROWS * cols))).alias("q"))
 
 
 BOXIOU = """bi as (select a.image_id, a.box_id as a, b.box_id as b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i,
@@ -109,6 +110,7 @@ def j6(spark, d):
 )
 def a29(spark, d):
     gt, m, void = gt_and_masks(spark, d)
+    cols = B.raster_of(spark, d)[1]
     q = sets.quality_care(gt, m, void, ["r", "c"])
     best = q.groupBy("image_id", "object_id").agg(F.min_by("segment_id", F.struct(-F.col("q"), "segment_id")).alias("best"), F.max("q").alias("q"))
     mean = best.agg(r6(F.avg("q")).alias("mean_best"))
@@ -176,13 +178,14 @@ def bounding(m: DataFrame) -> DataFrame:
 
 @query(
     "p24_square_boxes", B.RASTER, B.MASKS, BBOX,
-    "m as (select image_id, segment_id, greatest(0, r1 - 2) as r1, least(23, r2 + 2) as r2, greatest(1, c1 - 2) as c1, least(30, c2 + 2) as c2 from bb)",
+    f"m as (select image_id, segment_id, greatest(0, r1 - 2) as r1, least(23, r2 + 2) as r2, greatest(1, c1 - 2) as c1, least({B.LAST}, c2 + 2) as c2 from bb)",
     "p as (select *, ceil(greatest(0, (c2 - c1) - (r2 - r1)) / 2)::int as pr, ceil(greatest(0, (r2 - r1) - (c2 - c1)) / 2)::int as pc from m)",
     "select image_id, segment_id, r1 - pr as r1, r2 + pr as r2, c1 - pc as c1, c2 + pc as c2 from p",
 )
 def p24(spark, d):
-    m = bounding(B.threshold_masks(B.raster(spark, d)))
-    m = m.select("image_id", "segment_id", F.greatest(F.lit(0), F.col("r1") - 2).alias("r1"), F.least(F.lit(23), F.col("r2") + 2).alias("r2"), F.greatest(F.lit(1), F.col("c1") - 2).alias("c1"), F.least(F.lit(30), F.col("c2") + 2).alias("c2"))
+    ras, cols = B.raster_of(spark, d)
+    m = bounding(B.threshold_masks(ras))
+    m = m.select("image_id", "segment_id", F.greatest(F.lit(0), F.col("r1") - 2).alias("r1"), F.least(F.lit(23), F.col("r2") + 2).alias("r2"), F.greatest(F.lit(1), F.col("c1") - 2).alias("c1"), F.least(F.lit(cols), F.col("c2") + 2).alias("c2"))
     pr, pc = (F.ceil(F.greatest(F.lit(0), F.expr(e)) / 2).cast("int") for e in ("(c2 - c1) - (r2 - r1)", "(r2 - r1) - (c2 - c1)"))
     return m.select("image_id", "segment_id", (F.col("r1") - pr).alias("r1"), (F.col("r2") + pr).alias("r2"), (F.col("c1") - pc).alias("c1"), (F.col("c2") + pc).alias("c2"))
 

@@ -52,17 +52,28 @@ CODE = "code as (select label as word, i, round(avg(x), 6) as m from vlong group
 def raster(spark: SparkSession, d: str) -> DataFrame:
     """image_id, r, c, val, n: events by type, hour and day (from the first one on, COLS at least); val the mean value, 0
     where there are none (n = 0)."""
+    return raster_of(spark, d)[0]
+
+
+#: The last column, in SQL.
+LAST = "(select max(c) from ras)"
+
+
+def raster_of(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(raster, number of its columns: 1 to so many)."""
     ev = table(spark, d, "events").where("event_type is not null and ts is not null")
     first = ev.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
     start = F.lit(first["first"]).cast("date")
     days = (first["last"] - first["first"]).days + 1 if first["first"] else 0
+    cols = max(COLS, days)
     grid = (
         ev.select(F.col("event_type").alias("image_id")).distinct()
         .select("image_id", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))).alias("r"))
-        .select("image_id", "r", F.explode(F.sequence(F.lit(1), F.lit(max(COLS, days)))).alias("c"))
+        .select("image_id", "r", F.explode(F.sequence(F.lit(1), F.lit(cols))).alias("c"))
     )
     v = ev.groupBy(F.col("event_type").alias("image_id"), F.hour("ts").alias("r"), (F.datediff(F.to_date("ts"), start) + 1).alias("c")).agg(F.round(F.avg("value"), 4).alias("val"), F.count("*").alias("n"))
-    return grid.join(v, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ras = grid.join(v, ["image_id", "r", "c"], "left")
+    return ras.select("image_id", "r", "c", F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), cols
 
 
 RASTER = f"""ras as (select g.image_id, g.r, g.c, coalesce(v.val, 0.0) as val, coalesce(v.n, 0)::bigint as n
