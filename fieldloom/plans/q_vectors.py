@@ -308,6 +308,18 @@ def j14(spark, d):
     return search.approximate(v.where(ASKED), v, 10).withColumn("dist", r6("dist"))
 
 
+#: The given vectors have no clusters and fill all dimensions, so a query has to look at most rows to find nine of ten, and
+#: more trees only meet the same rows again.
+FOREST_TREES, FOREST_SHARE = 1, 0.85
+
+
+@query("j14_forest_knn")
+def j14_forest(spark, d):
+    """The same by a randomized forest whose leaves are searched best bin first, with a bound on compared rows."""
+    v = B.vectors(spark, d)
+    return search.Forest(v, FOREST_TREES).search(v.where(ASKED), 10, FOREST_SHARE).withColumn("dist", r6("dist"))
+
+
 @query("j17_ratio_match", *KNN, "two as (select a.vec_id, a.other, a.d, b.d as d2 from near a left join near b on a.vec_id = b.vec_id and b.k = 2 where a.k = 1)", "select vec_id, other, round(d, 6) as dist from two where d2 is null or 1.05 * round(d, 9) <= round(d2, 9)")
 def j17(spark, d):
     """The nearest vector of each query where it is nearer than the second by the ratio (on squared distances)."""
