@@ -192,6 +192,26 @@ def w19(spark, d):
     return j.select("image_id", "r", "c", F.round(F.when(o < 0, o + math.pi).otherwise(o), 4).alias("o"))
 
 
+@query(
+    "w17_oriented_non_max", B.RASTER, B.LABELMAP, BOUND,
+    "j as (select a.image_id, a.r, a.c, var_pop(b.c) as vx, var_pop(b.r) as vy, avg(b.r * b.c) - avg(b.r) * avg(b.c) as cov from bd a join bd b on a.image_id = b.image_id and (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9 group by all)",
+    "o as (select image_id, r, c, 0.5 * atan2(round(2 * cov, 9) + 0.0, round(vx - vy, 9) + 0.0) as o from j)",
+    "t as (select image_id, r, c, round(case when o < 0 then o + pi() else o end, 4) + pi() / 2 as t from o)",
+    "u as (select image_id, r, c, cos(t) as x, sin(t) as y from t)",
+    """n as (select u.*, m.val, (abs(x) >= abs(y)) as flat, case when x * y >= 0 then 1 else -1 end as s, case when abs(x) >= abs(y) then abs(y / x) else abs(x / y) end as d from u join ras m using (image_id, r, c))""",
+    """v as (select n.*, round((1 - d) * a.val + d * b.val + 1e-9, 6) as v1, round((1 - d) * e.val + d * f.val + 1e-9, 6) as v2 from n
+      join ras a on a.image_id = n.image_id and a.r = n.r + (not flat)::int and a.c = n.c + flat::int
+      join ras b on b.image_id = n.image_id and b.r = n.r + case when flat then s else 1 end and b.c = n.c + case when flat then 1 else s end
+      join ras e on e.image_id = n.image_id and e.r = n.r - (not flat)::int and e.c = n.c - flat::int
+      join ras f on f.image_id = n.image_id and f.r = n.r - case when flat then s else 1 end and f.c = n.c - case when flat then 1 else s end)""",
+    "select ras.image_id, ras.r, ras.c, case when v1 <= round(v.val + 1e-9, 6) and v2 <= round(v.val + 1e-9, 6) then v.val else 0.0 end as val from ras left join v on v.image_id = ras.image_id and v.r = ras.r and v.c = ras.c",
+)
+def w17_oriented(spark, d):
+    """Non-maximum suppression across the orientation of w19, neighbours interpolated in 3 x 3."""
+    px = B.raster(spark, d).select("image_id", "r", "c", "val").join(w19(spark, d), ["image_id", "r", "c"], "left")
+    return R.oriented_maxima(px, "val", "o").select("image_id", "r", "c", F.col("kept").alias("val"))
+
+
 @query("j15_neighbour_edges", B.RASTER, B.EDGES, "select graph_id, src, dst from edge")
 def j15(spark, d):
     return B.raster_graph(B.raster(spark, d)).select("graph_id", "src", "dst")

@@ -150,3 +150,28 @@ def test_distance_transform_long_lines_and_gaps(spark):
             assert (x["dt"], x.v, x.u) == min(all_)
     with pytest.raises(ValueError):
         R.distance_transform(px, "val", -1.0, 0, 1.0, 0)
+
+
+def test_oriented_maxima_against_pixels(spark):
+    rng = np.random.default_rng(5)
+    val, o = rng.uniform(size=(9, 8)).round(2), rng.uniform(0, np.pi, (9, 8))
+    o[4, 4], o[5, 5], o[6, 3], o[3, 3], o[2, 2] = 0, np.pi / 2, np.pi / 4, 3 * np.pi / 4, np.nan
+    cells = [("a", r, c, float(val[r, c]), None if np.isnan(o[r, c]) else float(o[r, c]), 7) for r in range(9) for c in range(8)]
+    got = R.oriented_maxima(spark.createDataFrame(cells, "image_id string, r int, c int, val double, o double, d int"), "val", "o").collect()
+    kept = 0
+    for x in got:
+        want = 0.0
+        if 0 < x.r < 8 and 0 < x.c < 7 and x.o is not None:
+            t = (x.o + np.pi / 2) % np.pi
+            step = np.array([np.sin(t), np.cos(t)]) / max(abs(np.sin(t)), abs(np.cos(t)))
+
+            def at(p):
+                low = np.floor(p + 1e-12).astype(int)
+                f = p - low
+                return sum(val[low[0] + i, low[1] + j] * abs(1 - i - f[0]) * abs(1 - j - f[1]) for i in (0, 1) for j in (0, 1) if abs(1 - i - f[0]) > 1e-9 and abs(1 - j - f[1]) > 1e-9)
+
+            here = np.array([x.r, x.c], float)
+            want = x.val if max(at(here + step), at(here - step)) <= x.val + 1e-9 else 0.0
+            kept += want > 0
+        assert x.kept == want and x.d == 7
+    assert 3 < kept < 40
