@@ -217,6 +217,26 @@ def t1(spark, d):
     return last.join(F.broadcast(last.agg(F.max("epoch").alias("epoch"))), "epoch").select("bin", "h")
 
 
+@query("t1_value_counts", "select (user_id % 3)::bigint as a, hour(ts)::int as b, count(*) as n from events group by all")
+def t1_values(spark, d):
+    """The multiset of a31 as keyed state over a stream of files that is stopped and started again in between."""
+    from fieldloom.streaming import incremental as I
+
+    src, sink, state = (folder(spark, x) for x in ("events", "counts", "state"))
+    ev = B.table(spark, d, "events").select((F.col("user_id") % 3).cast("long").alias("a"), F.hour("ts").alias("b"), (F.dayofyear("ts") % 3).alias("part"))
+    schema = "a long, b int"
+
+    def put(batch, epoch):
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+
+    for part in ("part = 0", "part <> 0"):
+        ev.where(part).select("a", "b").write.mode("append").parquet(src)
+        counts = I.value_counts(I.stream_of(spark, src, schema, files=4), ["a", "b"])
+        q = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return I.total_counts(spark.read.parquet(sink), ["a", "b"]).select("a", "b", "n")
+
+
 @query("t2_warm_started_svm")
 def t2(spark, d):
     """The SVM of i16 continued over micro-batches of the labelled rows."""

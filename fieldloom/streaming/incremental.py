@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from fieldloom.operators.cluster import svm
 
@@ -38,3 +40,46 @@ def warm_started_svm(stream: DataFrame, dims: int, state_path: str, checkpoint:
         batch.unpersist()
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def value_counts(stream: DataFrame, keys: list[str], idle_ms: int | None = None) -> DataFrame:
+    """A multiset of values kept as keyed state: (keys, n, closed), a row for each value that a micro-batch touches.
+
+    n is how often the value has been met since its state began. Rows are counted in their tasks first, so a hot value
+    sends one row a batch; a value's state is one number, carried over restarts by the checkpoint. With idle_ms a value
+    that is not met for so long gives its count once more, closed, and its state is dropped; it begins anew when it comes
+    back, so totals are the closed counts and the newest open one (total_counts). Null parts of a value are a value of
+    their own. keys must be columns of stream; its other columns are ignored. A query with idle_ms that only takes the
+    available files ends only without micro-batches that have no data (spark.sql.streaming.noDataMicroBatches.enabled)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    rows = stream.select(*keys)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def partial(frames):
+        for df in frames:
+            yield df.groupby(keys, dropna=False, sort=False).size().rename("m").reset_index()
+
+    def carry(key, frames, state):
+        n = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, n, True)], columns=[*keys, "n", "closed"])
+            return
+        n += int(sum(df["m"].sum() for df in frames))
+        state.update((n,))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(*key, n, False)], columns=[*keys, "n", "closed"])
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    counted = rows.mapInPandas(partial, f"{kinds}, m long")
+    return counted.groupBy(*keys).applyInPandasWithState(carry, f"{kinds}, n long, closed boolean", "n long", "update", timeout)
+
+
+def total_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) of all rows that value_counts has given so far, with the number of their micro-batch as epoch."""
+    w = W.partitionBy(*keys).orderBy(F.desc("epoch"))
+    last = rows.withColumn("_k", F.row_number().over(w))  # a row a micro-batch of a value
+    own = F.when(F.col("closed") | (F.col("_k") == 1), F.col("n")).otherwise(0)
+    return last.groupBy(*keys).agg(F.sum(own).alias("n"))
