@@ -37,9 +37,10 @@ REDACTED = "[REDACTED]"
 _KEY = r"[A-Za-z0-9_+/.-]"
 #: One or two closing "=" belong to a value, but not where another value, quoted or not, follows: that one is a name.
 _END = r"[A-Za-z0-9_+/-](?:={1,2}(?![^\s\"'`,;)\]}]|[\"'`][A-Za-z0-9_+/-]))?"
-#: Words that name a secret, and what stands between a name and its value.
+#: Words that name a secret, and what stands between a name and its value. The look ahead spares the long
+#: look back wherever nothing leads on.
 KEYWORD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|bearer|auth|api[_-]?key|access[_-]?key|private[_-]?key)"
-_LED = rf"(?<={KEYWORD}[A-Za-z0-9_\"'`\]]{{0,24}}\s{{0,3}})(?:=>|:=|==?|:|\bis\b)\s{{0,3}}"
+_LED = rf"(?=[=:]|\bis\b)(?<={KEYWORD}[A-Za-z0-9_\"'`\]]{{0,24}}\s{{0,3}})(?:=>|:=|==?|:|\bis\b)\s{{0,3}}"
 #: Each alternative: what precedes a value (kept), the value. In order: a key between its lines, the password in an address,
 #: what a keyword leads (to the closing quote, or to white space), another assigned value; or a long value anywhere.
 _FORMS = (
