@@ -7,6 +7,7 @@ and is never cut. Memory of a task is about 40 times the larger of BLOCK and its
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -110,6 +111,15 @@ def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = BLOCK):
         j = min(n, max(j, i + 1))
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for later tasks, and would keep what their largest block took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def spans(data: np.ndarray, offs: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
