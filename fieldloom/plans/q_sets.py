@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators import rank, sets
-from fieldloom.operators.shared import shared_folder
+from fieldloom.operators.shared import shared_folder, stored
 from fieldloom.plans.registry import query
 from fieldloom.sources import bindings as B
 
@@ -233,7 +233,7 @@ def k2(spark, d):
 
 
 def scored_segments(spark, d):
-    seg = B.seg_pixels(spark, d)
+    seg = stored(B.seg_pixels(spark, d))  # used several times, and its texts are long
     n = sets.sizes(seg)
     s = n.join(B.segments(spark, d), ["image_id", "segment_id"])
     return seg, s.withColumn("score", F.lit(0.1) + F.col("n") * 0.01 + F.col("energy") * -0.0001)
@@ -248,7 +248,7 @@ def k3(spark, d):
 @query("k4_diversified_keep_n")
 def k4(spark, d):
     seg, s = scored_segments(spark, d)
-    return rank.diversified(s.withColumn("score", -F.col("energy") / 10000), sets.iou(seg), 0.75, top=3).withColumn("value", r6("value"))
+    return rank.diversified_top(s.withColumn("score", -F.col("energy") / 10000), seg, 3, 0.75).withColumn("value", r6("value"))
 
 
 @query("k5_largest", B.SEG, NSEG, "select image_id, segment_id, n from (select *, row_number() over (partition by image_id order by n desc, segment_id) as k from n) where k <= 3")

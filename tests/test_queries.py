@@ -275,8 +275,8 @@ def test_overlaps_by_blocks(spark, monkeypatch):
     assert {(r.image_id, r.a, r.b): r.iou for r in near.collect()} == {(i, a, b): v for i, p in want.items() for (a, b), v in p.items() if v >= 0.3 and name[i, a] == a and name[i, b] == b}
 
 
-@pytest.mark.parametrize("top", [None, 4])
-def test_diversified_in_rounds(spark, monkeypatch, top):
+@pytest.mark.parametrize("top, limit", [(None, {"MAX_GROUP": 5}), (4, {"MAX_GROUP": 5}), (None, {"MAX_PAIRS": 20})])
+def test_diversified_in_rounds(spark, monkeypatch, top, limit):
     rng = np.random.default_rng(14)
     segs, pairs, want = [], [], {}
     for image, n in (("a", 30), ("b", 12), ("c", 3)):
@@ -288,13 +288,37 @@ def test_diversified_in_rounds(spark, monkeypatch, top):
                     pairs.append((image, a, b, float(m[a, b])))
         segs += [(image, i, float(x)) for i, x in enumerate(s)]
         want[image] = mmr_brute(s, m, 0.75)[:top]
-    monkeypatch.setattr(rank, "MAX_GROUP", 5)
+    for name, value in limit.items():
+        monkeypatch.setattr(rank, name, value)
     got = rank.diversified(spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(pairs, "image_id string, a long, b long, iou double"), top=top).toPandas()
     for image, w in want.items():
         own = got[got.image_id == image].sort_values("rank")
         assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w])
 
 
+def test_diversified_top_equals_brute_force(spark):
+    """Ties, equal sets, a common element, repeated rows, a segment without elements, one without a score, a short image."""
+    rng = np.random.default_rng(15)
+    segs, seg, want = [], [], {}
+    for image, n in (("a", 40), ("b", 12), (None, 9), ("c", 2)):
+        has = [set(rng.choice(30, size=int(rng.integers(1, 15)), replace=False).tolist()) | {99} for _ in range(n)]
+        if n > 2:
+            has[1], has[2] = set(has[0]), set()
+        s = np.round(rng.uniform(size=n), 1)
+        m = np.array([[len(x & y) / max(1, len(x | y)) for y in has] for x in has])
+        segs += [(image, i, float(x)) for i, x in enumerate(s)] + [(image, 0, float(s[0])), (image, n, None)]
+        seg += [(image, i, p) for i, x in enumerate(has) for p in x for _ in range(1 + p % 2)]
+        want[image] = mmr_brute(s, m, 0.75)[:6]
+    segs, seg = spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(seg, "image_id string, segment_id long, pixel_id long")
+    got = rank.diversified_top(segs, seg, 6).toPandas()
+    del want[None]
+    assert set(got.image_id) == set(want)
+    for image, w in want.items():
+        own = got[got.image_id == image].sort_values("rank")
+        assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w]), image
+    assert rank.diversified_top(segs.limit(0), seg.limit(0), 6).isEmpty()
+
+
 def test_diversified_keep_n_query(spark):
     own, near = overlaps(spark)
     energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
