@@ -110,7 +110,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, di
     Labels meet the documents first: of all documents with a label whose targets are all known, those with the smallest
     hash of doc_id are taken, in that order, so the sample is spread over the input and does not depend on its order or
     on labels of other documents. Of several labels of one doc_id the one with the largest targets counts, of several
-    texts the last in byte order; null texts are empty. targets: name to a Column over labels. No other column of either
+    texts the last in byte order; null texts are empty. A document whose features no longer fit is passed over, later ones
+    that fit are taken. targets: name to a Column over labels. No other column of either
     table is read. told: gets {value: (documents, how many of them have each bin)} of the first target and says which
     bins are kept; it is asked before any feature is held.
     """
@@ -140,9 +141,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict, maker, di
         b, v = np.frombuffer(r.bins, np.int32), np.frombuffer(r.vals, np.float32)
         if keep is not None:
             b, v = b[keep[b]], v[keep[b]]
+        if total + len(b) > entries:
+            continue
         total += len(b)
-        if y and total > entries:
-            break
         bins.append(b)
         vals.append(v)
         y.append([r[f"y{i}"] for i in range(len(names))])

@@ -433,6 +433,11 @@ def test_labelled_sample_meets_documents_first(spark):
     assert x.n == 40 and sorted(y["y"]) == [0] * 20 + [1] * 20  # of two labels of 1 the larger counts
     x, _ = features.labelled_sample(docs, labels, {"y": F.col("quality")}, features.shape_bins, 64, 200, entries=50)
     assert 0 < x.n < 40 and len(x.col) <= 50
+    long = " ".join(f"w{i}" for i in range(3000))  # wherever it stands in the order, it alone is passed over
+    for i in (0, 7, 21, 39):
+        text = F.when(F.col("doc_id") == i, F.lit(long)).otherwise(F.col("text"))
+        x, _ = features.labelled_sample(docs.where("text not like '%z'").withColumn("text", text), labels, {"y": F.col("quality")}, features.word_bins, 1 << 16, 200, entries=1000)
+        assert x.n == 39
     assert features.labelled_sample(docs.limit(0), labels, {"y": F.col("quality")}, features.shape_bins, 64, 200)[0].n == 0
 
 
