@@ -275,6 +275,25 @@ def test_overlaps_by_blocks(spark, monkeypatch):
     assert {(r.image_id, r.a, r.b): r.iou for r in near.collect()} == {(i, a, b): v for i, p in want.items() for (a, b), v in p.items() if v >= 0.3 and name[i, a] == a and name[i, b] == b}
 
 
+def test_overlaps_repeat_sets_seldom(spark):
+    """Sets of an image of 2,500 segments go to two blocks, where they were repeated ten times; counts by both ways are right."""
+    rng = np.random.default_rng(16)
+    has = [np.unique(np.r_[rng.integers(0, 3_000, 12), rng.integers(0, 4, 2)]) for _ in range(2_500)]
+    rows = [("x", i, [int(v) for v in x]) for i, x in enumerate(has)] + [("x", 2_500, []), ("y", 2_501, [1])]
+    m = spark.createDataFrame(rows, "image_id string, segment_id long, x array<long>").withColumn("energy", (-F.col("segment_id")).cast("double"))
+    assert sets.cells(m).where("image_id = 'x'").count() == 2 * 2_501
+    one = np.zeros((2_500, 3_000), np.float32)
+    for i, x in enumerate(has):
+        one[i, x] = 1
+    inter = np.triu((one @ one.T).astype(int), 1)
+    got = sets.iou(m, 4, 9, digits=6, features=("energy",)).toPandas()
+    a, b = np.nonzero((inter >= 4) & (inter <= 9))
+    got = got.sort_values(["a", "b"])
+    assert len(a) and list(got.a) == list(a) and list(got.b) == list(b) and list(got.inter) == list(inter[a, b])
+    assert np.allclose(got.iou, [round(i / (len(has[p]) + len(has[q]) - i), 6) for p, q, i in zip(a, b, inter[a, b])], atol=1.1e-6)
+    assert list(got.n_a) == [len(has[p]) for p in a] and list(got.energy_b) == list(-b)
+
+
 @pytest.mark.parametrize("top, limit", [(None, {"MAX_GROUP": 5}), (4, {"MAX_GROUP": 5}), (None, {"MAX_PAIRS": 20})])
 def test_diversified_in_rounds(spark, monkeypatch, top, limit):
     rng = np.random.default_rng(14)
