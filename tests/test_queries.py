@@ -294,6 +294,20 @@ def test_overlaps_repeat_sets_seldom(spark):
     assert list(got.n_a) == [len(has[p]) for p in a] and list(got.energy_b) == list(-b)
 
 
+@pytest.mark.parametrize("block", [8, sets.BLOCK])
+def test_linkage_edges_are_few_and_enough(spark, monkeypatch, block):
+    """The forest of the cells' edges is that of all pairs, with ties, equal sets, disjoint ones and images apart."""
+    monkeypatch.setattr(sets, "BLOCK", block)
+    rng = np.random.default_rng(17)
+    rows = [(image, 1_000 * k + i, [int(v) for v in np.unique(rng.integers(0, 12, 4)) + 100 * (i % 2)]) for k, image in enumerate("ab") for i in range(40)]
+    m = spark.createDataFrame(rows, "image_id string, segment_id long, x array<long>")
+    edges = sets.linkage_edges(m)
+    if block > 40:
+        assert edges.count() <= 2 * 39 < sets.iou(m).count()
+    want = {tuple(r) for r in cluster.spanning_forest(sets.iou(m)).collect()}
+    assert {tuple(r) for r in cluster.spanning_forest(edges).collect()} == want and len(want) > 60
+
+
 @pytest.mark.parametrize("top, limit", [(None, {"MAX_GROUP": 5}), (4, {"MAX_GROUP": 5}), (None, {"MAX_PAIRS": 20})])
 def test_diversified_in_rounds(spark, monkeypatch, top, limit):
     rng = np.random.default_rng(14)
