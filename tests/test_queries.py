@@ -352,6 +352,29 @@ def test_diversified_top_equals_brute_force(spark):
     assert rank.diversified_top(segs.limit(0), seg.limit(0), 6).isEmpty()
 
 
+@pytest.mark.parametrize("limit, block", [(200_000, sets.BLOCK), (5, 8)])
+def test_diversified_by_sets(spark, monkeypatch, limit, block):
+    """Ranks by sets are those by all pairs, over wide and narrow scores, ties, equal sets and an empty one."""
+    rng = np.random.default_rng(18)
+    monkeypatch.setattr(sets, "BLOCK", block)
+    monkeypatch.setattr(rank, "MAX_GROUP", limit)
+    segs, seg, want = [], [], {}
+    for image, n, wide in (("a", 40, 3.0), ("b", 30, 0.4), ("c", 1, 1.0)):
+        has = [set(rng.choice(25, size=int(rng.integers(1, 12)), replace=False).tolist()) for _ in range(n)]
+        if n > 2:
+            has[1], has[2] = set(has[0]), set()
+        s = np.round(rng.uniform(size=n) * wide, 1)
+        m = np.array([[len(x & y) / max(1, len(x | y)) for y in has] for x in has])
+        segs += [(image, i, float(x)) for i, x in enumerate(s)]
+        seg += [(image, i, p) for i, x in enumerate(has) for p in x]
+        want[image] = mmr_brute(s, m, 0.75)
+    segs, seg = spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(seg, "image_id string, segment_id long, pixel_id long")
+    got = rank.diversified_sets(segs, seg).toPandas()
+    for image, w in want.items():
+        own = got[got.image_id == image].sort_values("rank")
+        assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w]), image
+
+
 def test_diversified_keep_n_query(spark):
     own, near = overlaps(spark)
     energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
