@@ -304,12 +304,12 @@ def _deduped(keep: str) -> tuple[str, ...]:
            from segs join comp using (segment_id)) where k = 1"""))),
 )
 def i9(spark, d):
-    return sets.dissimilar(B.seg_pixels(spark, d), B.segments(spark, d)).select("image_id", "segment_id", "energy", "cluster")
+    return sets.dissimilar(B.seg_sets(spark, d), B.segments(spark, d)).select("image_id", "segment_id", "energy", "cluster")
 
 
 @query("i11_repeats", B.SEG, NSEG, PAIR, IOU, B.SEGMENTS, "select image_id, segment_id, energy from segs where (image_id, segment_id) not in (select (image_id, a) from iou where iou > 0.98)")
 def i11(spark, d):
-    return sets.without_repeats(B.seg_pixels(spark, d), B.segments(spark, d))
+    return sets.without_repeats(B.seg_sets(spark, d), B.segments(spark, d))
 
 
 @query(
