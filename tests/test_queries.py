@@ -375,6 +375,28 @@ def test_diversified_by_sets(spark, monkeypatch, limit, block):
         assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w]), image
 
 
+def test_box_overlaps_are_dealt_by_pairs(spark, monkeypatch):
+    """Blocks of boxes of full cells meet in keys of their own; a small file's many rows in cells are not broadcast."""
+    monkeypatch.setattr(sets, "BOXES", 5)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        x, y = (rng.integers(-9, 30, 2) / 2).tolist()
+        rows.append((f"m{i % 2}", i, x, y, x + float(rng.choice([0.5, 3.0, 24.0])), y + float(rng.choice([-1.0, 0.0, 2.0, 7.5]))))
+    df = spark.createDataFrame(rows, "image_id string, box_id long, x1 double, y1 double, x2 double, y2 double")
+    out = sets.box_iou(df, df, digits=6)
+    want = []
+    for m, p, a1, b1, a2, b2 in rows:
+        for n, q, c1, d1, c2, d2 in rows:
+            w, h = min(a2, c2) - max(a1, c1), min(b2, d2) - max(b1, d1)
+            if m == n and w > 0 and h > 0:
+                want.append((m, p, q, w * h / ((a2 - a1) * (b2 - b1) + (c2 - c1) * (d2 - d1) - w * h)))
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)], atol=6e-7)
+    pairs = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in pairs.lower() and sets.box_iou(df.limit(0), df).count() == 0
+
+
 def test_diversified_keep_n_query(spark):
     own, near = overlaps(spark)
     energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
