@@ -397,6 +397,23 @@ def test_box_overlaps_are_dealt_by_pairs(spark, monkeypatch):
     assert "strategy=merge" in pairs.lower() and sets.box_iou(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("block", [8_192, 12])
+def test_two_hops_without_paths(spark, monkeypatch, block):
+    """Paths over a hub's neighbours are not made, in one block or many; an empty block loses nothing."""
+    monkeypatch.setattr(sets, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    seg, want = [], set()
+    for image, n, wide in (("a", 90, 60), ("b", 40, 400), ("c", 1, 9), ("d", 7, 5)):
+        has = [set(rng.choice(wide, size=min(wide, int(rng.integers(1, 9))), replace=False).tolist()) for _ in range(n)]
+        seg += [(image, 3 * i, p) for i, x in enumerate(has) for p in x]
+        near = np.array([[i != j and 2 <= len(x & y) <= 4 for j, y in enumerate(has)] for i, x in enumerate(has)])
+        want |= {(image, 3 * i, 3 * j) for i in range(n) for j in range(i + 1, n) if not has[i] & has[j] and (near[i] & near[j]).any()}
+    df = spark.createDataFrame(seg, "image_id string, segment_id long, pixel_id long")
+    got = [tuple(r) for r in sets.two_hops(df, 2, 4).collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+    assert sets.two_hops(df.limit(0), 2, 4).count() == 0
+
+
 def test_diversified_keep_n_query(spark):
     own, near = overlaps(spark)
     energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
