@@ -414,6 +414,26 @@ def test_two_hops_without_paths(spark, monkeypatch, block):
     assert sets.two_hops(df.limit(0), 2, 4).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_first_few_of_sets(spark, monkeypatch, few):
+    """The first few come from one row a set, with the chosen ones' elements broadcast or joined."""
+    monkeypatch.setattr(rank.shared, "BROADCAST_ROWS", few)
+    rng = np.random.default_rng(21)
+    segs, sets_, want = [], [], {}
+    for image, n in (("a", 30), ("b", 12), ("c", 1)):
+        has = [set(rng.choice(20, size=int(rng.integers(1, 12)), replace=False).tolist()) for _ in range(n)]
+        s = np.round(rng.uniform(size=n), 1)
+        segs += [(image, i, float(x)) for i, x in enumerate(s)]
+        sets_ += [(image, i, sorted(x)) for i, x in enumerate(has)]
+        m = np.array([[len(x & y) / len(x | y) for y in has] for x in has])
+        want[image] = mmr_brute(s, m, 0.75)[:4]
+    segs, x = spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(sets_, "image_id string, segment_id long, x array<long>")
+    got = rank.diversified_top(segs, x, 4).toPandas()
+    for image, w in want.items():
+        own = got[got.image_id == image].sort_values("rank")
+        assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w]), image
+
+
 def test_diversified_keep_n_query(spark):
     own, near = overlaps(spark)
     energy = {r.segment_id: r.energy for r in B.segments(spark, SF).collect()}
