@@ -6,8 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
 from fieldloom.operators.shared import checkpoint, sized, stored
@@ -132,6 +134,66 @@ def star_expansion(hyper: DataFrame) -> DataFrame:
     return big.unionByName(pair)
 
 
+#: Regions of a range (about) whose inner merges are one task's.
+REGIONS = 4_096
+
+
+def _inner_merges(key: tuple[pa.Scalar, ...], x: pa.Table) -> pa.Table:
+    """The merges (a, b, height, to: what a's region is named at last) among the regions of one range, with all borders
+    of these regions: from a region to the neighbour over its weakest border, until two choose each other. A chain that
+    leads out of the range waits."""
+    part = key[1].as_py()
+    near: dict = {}
+    own = set()
+    for r in x.to_pylist():
+        a, b = ((r[e]["h"], r[e]["id"]) for e in "ab")
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (r["s"], r["n"])
+        own.update(v for v, c in ((a, r["pa"]), (b, r["pb"])) if c == part)
+    merges, up, waits = [], {}, set()
+    for start in sorted(own):
+        chain = [start] if start in near else []
+        while chain and chain[-1] not in waits and near[chain[-1]]:
+            u = chain[-1]
+            height, a, b = min((s / n, min(u, v), max(u, v)) for v, (s, n) in near[u].items())
+            v = b if u == a else a
+            if v not in own or v in waits:
+                waits.update(chain)
+            elif len(chain) < 2 or v != chain[-2]:
+                chain.append(v)
+            else:
+                del chain[-2:]
+                merges.append((a, b, height))
+                up[a] = b
+                del near[b][a]
+                for w, (s, n) in near.pop(a).items():
+                    if w != b:
+                        del near[w][a]
+                        s0, n0 = near[b].get(w, (0, 0))
+                        near[b][w] = near[w][b] = (s + s0, n + n0)
+                chain = chain or [b]
+    out = []
+    for a, b, height in merges:
+        to = b
+        while to in up:
+            to = up[to]
+        out.append((a, b, height, to))
+    kind = x.schema.field("a").type
+    name = lambda c: pa.array([{"h": r[c][0], "id": r[c][1]} for r in out], kind)
+    graph = pa.array([key[0].as_py()] * len(out), x.schema.field("graph_id").type)
+    return pa.table([graph, name(0), name(1), pa.array([r[2] for r in out], pa.float64()), name(3)], ["graph_id", "a", "b", "height", "to"])
+
+
+def _ranges(e: DataFrame) -> DataFrame:
+    """Borders with the ranges pa and pb of their regions: equal shares of a graph's span of ids, some REGIONS regions in each
+    (of their hashes, where ids are no numbers)."""
+    number = isinstance(e.schema["a"].dataType["id"].dataType, NumericType)
+    at = lambda c: F.col(f"{c}.id").cast("double") if number else F.col(f"{c}.h").cast("double")
+    v = e.select("graph_id", at("a").alias("v")).union(e.select("graph_id", at("b"))).distinct()
+    v = v.groupBy("graph_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.ceil(F.count("*") / REGIONS).alias("parts"))
+    place = lambda c: F.least(F.col("parts") - 1, F.floor((at(c) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("parts"))).cast("long")
+    return e.join(v, "graph_id").withColumns({"pa": place("a"), "pb": place("b")}).drop("lo", "hi", "parts")
+
+
 def merge_tree(borders: DataFrame) -> DataFrame:
     """The merges (graph_id, a, b, height) that join regions over their weakest mean border until none is left.
 
@@ -143,8 +205,10 @@ def merge_tree(borders: DataFrame) -> DataFrame:
 
     A border that is the least of both its regions stays so until it is merged, whatever is merged elsewhere: a mean of
     two borders is no less than the smaller, and a greater name comes later on ties. So each round merges all such
-    borders at once, and gives the tree that one merge after another would; as names are hashed, a fair share of the
-    borders of a plateau are such. Borders of a region with itself, nulls and
+    borders at once, and gives the tree that one merge after another would. Those inside a range of ids (some REGIONS
+    regions, whose borders one task sees whole) are merged there one after another, so a round leaves little but what
+    waits for other ranges, and rounds grow with the logarithm of the regions where ids say what is near; a round without
+    any merge inside a range takes the borders that are such over the whole table. Borders of a region with itself, nulls and
     repeated rows: the first are left out, nulls too, the last are added up.
     """
     e = borders.where("a <> b and s is not null and n > 0").select("graph_id", *(F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in "ab"), "s", "n")
@@ -152,17 +216,26 @@ def merge_tree(borders: DataFrame) -> DataFrame:
     # as a table: a checkpoint keeps what the optimizer knows of its rows, which would double in every round
     e = stored(e.groupBy("graph_id", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     tree = e.select("graph_id", "a", "b", (F.col("s") / F.col("n")).alias("height")).limit(0)
-    rows = e.count()
-    while rows:
-        e = sized(e, rows)
+    kind, name = (e.schema[c].dataType.simpleString() for c in ("graph_id", "a"))
+    schema = f"graph_id {kind}, a {name}, b {name}, height double, to {name}"
+
+    def best_of_both(e, rows):
         key = F.struct((F.col("s") / F.col("n")).alias("h"), "a", "b").alias("k")
         ends = e.select("graph_id", F.col("a").alias("x"), key).union(e.select("graph_id", F.col("b").alias("x"), key))
         best = ends.groupBy("graph_id", "x").agg(F.min("k").alias("k"))
         both = best.groupBy("graph_id", "k").agg(F.count("*").alias("m")).where("m = 2")
-        both = checkpoint(sized(both.select("graph_id", "k.a", "k.b", F.col("k.h").alias("height")), rows))
-        tree = tree.union(both)
+        return checkpoint(sized(both.select("graph_id", "k.a", "k.b", F.col("k.h").alias("height"), F.col("k.b").alias("to")), rows))
+
+    rows = e.count()
+    while rows:
+        e = sized(e, rows)
+        both = _ranges(e).withColumn("part", F.explode(F.array_distinct(F.array("pa", "pb"))))
+        both = stored(both.groupBy("graph_id", "part").applyInArrow(_inner_merges, schema))
+        if both.isEmpty():
+            both = best_of_both(e, rows)
+        tree = tree.union(both.drop("to"))
         for end in ("a", "b"):
-            up = both.select("graph_id", F.col("a").alias(end), F.col("b").alias("to"))
+            up = both.select("graph_id", F.col("a").alias(end), "to")
             e = e.join(up, ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         e = e.where("a <> b").select("graph_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "n")
         e = stored(sized(e.groupBy("graph_id", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), rows))

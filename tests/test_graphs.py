@@ -58,6 +58,22 @@ def test_merge_tree_equals_one_merge_after_another(spark):
     assert G.merge_tree(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("regions", [6, 4_096])
+def test_merges_inside_ranges_of_ids(spark, monkeypatch, regions):
+    """Ranges give the tree of one merge after another; a chain of rising borders inside one takes one round, not one a border."""
+    monkeypatch.setattr(G, "REGIONS", regions)
+    rng = np.random.default_rng(12)
+    rows = [(0, i, i + 1, 3 * i + 1, 1) for i in range(60)]
+    rows += [(1, i, i + d, int(rng.integers(0, 30)), int(rng.integers(1, 4))) for i in range(40) for d in (1, 8)]
+    rounds = []
+    monkeypatch.setattr(G, "stored", lambda df, own=G.stored: rounds.append(1) or own(df))
+    df = spark.createDataFrame(rows, "graph_id long, a long, b long, s long, n long")
+    got = G.merge_tree(df).collect()
+    for g in (0, 1):
+        assert sorted((r.a, r.b, r.height) for r in got if r.graph_id == g) == sorted(merges_in_turn(spark, [r[1:] for r in rows if r[0] == g]))
+    assert regions < 100 or len(rounds) <= 3
+
+
 def test_merge_tree_query(spark):
     borders = region_borders(spark, SF).collect()
     got = catalog.QUERIES["i31_merge_tree"](spark, SF).collect()
