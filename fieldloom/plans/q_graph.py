@@ -267,9 +267,10 @@ def i31(spark, d):
 
 def region_borders(spark, d):
     """Borders (graph_id, a, b, s, n) of the regions of equal value, named by their smallest pixels: s in millionths."""
-    comp = R.masks_components(B.raster(spark, d), ["image_id", "val"], R.FOUR)
+    ras = stored(B.raster(spark, d))  # used twice: events are read once
+    comp = R.masks_components(ras, ["image_id", "val"], R.FOUR)
     reg = stored(comp.select(F.col("image_id").alias("graph_id"), B.pixel_id("r", "c").alias("node"), B.pixel_id("cr", "cc").alias("label")))
-    cross = G.with_labels(edges(spark, d), reg).where("la <> lb")
+    cross = G.with_labels(B.raster_graph(ras), reg).where("la <> lb")
     return cross.groupBy("graph_id", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum(F.round((1 - F.col("w")) * 1_000_000).cast("long")).alias("s"), F.count("*").alias("n"))
 
 
@@ -283,5 +284,5 @@ def i31_tree(spark, d):
 @query("i32_spectral_grouping")
 def i32(spark, d):
     """Two groups of pixels of each raster: the signs of the second eigenvector of its normalized affinity matrix."""
-    halves = G.spectral_halves(G.both_ways(edges(spark, d)))
+    halves = G.spectral_halves(G.both_ways(stored(edges(spark, d))))  # used several times: events are read once
     return halves.select("graph_id", "node", F.round("value", 5).alias("value"), F.round("x", 4).alias("x"), "cluster")
