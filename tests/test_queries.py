@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars as S
 from fieldloom.functions import vectors as V
-from fieldloom.operators import cluster, components, graph, order, rank, raster, sets
+from fieldloom.operators import cluster, components, graph, order, rank, raster, sets, shared
 from fieldloom.plans import catalog
 from fieldloom.sources import bindings as B
 from fieldloom.sources import runs, stage
@@ -375,6 +375,48 @@ def test_diversified_by_sets(spark, monkeypatch, limit, block):
         assert list(own.segment_id) == [i for i, _ in w] and np.allclose(own.value, [v for _, v in w]), image
 
 
+def test_diversified_by_sets_holds_few_pairs(spark, monkeypatch):
+    """Scores that lie close leave the order of all pairs open: rounds of candidates rank them as brute force does, and few of the pairs are ever kept."""
+    monkeypatch.setattr(rank, "FIRST", 8)
+    monkeypatch.setattr(sets, "BLOCK", 40)
+    seen, whole = [], rank.diversified
+    monkeypatch.setattr(rank, "diversified", lambda segs, pairs, *a: whole(segs, seen.append(shared.stored(pairs)) or seen[-1], *a))
+    rng = np.random.default_rng(31)
+    segs, rows, want = [], [], {}
+    for image, n in (("a", 150), ("b", 33), ("c", 1)):
+        has = [np.unique(np.r_[rng.integers(0, 60, int(rng.integers(1, 20))), 99]).tolist() for _ in range(n)]
+        for i in range(5, n, 7):
+            has[i] = list(has[i - 5])
+        if n > 2:
+            has[2] = []
+        s = np.round(rng.uniform(size=n) * 0.1, 2)
+        m = np.array([[len(set(x) & set(y)) / max(1, len(set(x) | set(y))) for y in has] for x in has])
+        segs += [(image, i, float(x)) for i, x in enumerate(s)]
+        rows += [(image, i, x) for i, x in enumerate(has)]
+        want[image] = mmr_brute(s, m, 0.75)
+    segs += [(None, 1, 0.5), (None, 2, 1.0)]
+    got = rank.diversified_sets(spark.createDataFrame(segs, "image_id string, segment_id long, score double"), spark.createDataFrame(rows, "image_id string, segment_id long, x array<long>")).toPandas()
+    for image, w in want.items():
+        own = got[got.image_id == image].sort_values("rank")
+        assert list(own.segment_id) == [i for i, _ in w] and list(own["rank"]) == list(range(1, len(w) + 1)) and np.allclose(own.value, [v for _, v in w]), image
+    assert list(got[got.image_id.isna()].sort_values("rank").segment_id) == [2, 1]
+    assert len(seen) > 2 and 0 < sum(p.count() for p in seen) < 150 * 149 / 4
+
+
+def test_sets_are_packed(spark):
+    """Sets as bytes are the sets again, also with more than 128 and 16,384 elements between two, empty ones and one without a block's words."""
+    rng = np.random.default_rng(32)
+    has = [[], [5], list(range(-20_000, 20_000)), [-20_000, 19_999], [-1, 200], []] + [rng.choice(40_000, 30, replace=False).tolist() for _ in range(20)] + [[123, 200]] * 3
+    rows = [("x", i, i % 3 // 2, x) for i, x in enumerate(has)]
+    own = sets.packed(spark.createDataFrame(rows, "image_id string, segment_id long, block long, x array<long>"))
+    x, size, code = sets._elements(own.toArrow())
+    ids, ends = x["segment_id"].to_pylist(), np.r_[0, np.cumsum(size)]
+    words = np.unique(np.concatenate([np.array(v, np.int64) for v in has]))
+    got = {i: sorted(words[code[ends[k] : ends[k + 1]]].tolist()) for k, i in enumerate(ids)}
+    assert got == {i: sorted(v) for i, v in enumerate(has)}
+    assert own.select(F.sum(F.length("x"))).first()[0] < 2 * sum(map(len, has))
+
+
 def test_box_overlaps_are_dealt_by_pairs(spark, monkeypatch):
     """Blocks of boxes of full cells meet in keys of their own; a small file's many rows in cells are not broadcast."""
     monkeypatch.setattr(sets, "BOXES", 5)
