@@ -294,6 +294,19 @@ def test_overlaps_repeat_sets_seldom(spark):
     assert list(got.n_a) == [len(has[p]) for p in a] and list(got.energy_b) == list(-b)
 
 
+def test_cells_of_an_image_are_dealt(spark, monkeypatch):
+    """Blocks and cells of one image go to several tasks; a join on the image had left them all in one."""
+    monkeypatch.setattr(sets, "BLOCK", 16)
+    rows = [("x", i, list(range(i % 7, i % 7 + 5))) for i in range(200)]
+    pairs = sets.iou(spark.createDataFrame(rows, "image_id string, segment_id long, x array<long>"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pairs.select("a", "b").distinct().count() == pairs.count() > 0
+
+
 @pytest.mark.parametrize("block", [8, sets.BLOCK])
 def test_linkage_edges_are_few_and_enough(spark, monkeypatch, block):
     """The forest of the cells' edges is that of all pairs, with ties, equal sets, disjoint ones and images apart."""
